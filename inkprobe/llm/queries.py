@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import bitplane, exact_dedup, mixing
 
 QUERIES = {
+    "op1_bitplane": bitplane.op1_bitplane,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
 }
