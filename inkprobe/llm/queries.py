@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitplane, exact_dedup, mixing
+from . import bitplane, bpe, exact_dedup, mixing
 
 QUERIES = {
     "op1_bitplane": bitplane.op1_bitplane,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
 }
 

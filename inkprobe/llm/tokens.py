@@ -11,8 +11,8 @@ import os
 import struct
 from collections.abc import Iterable, Iterator
 
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Words a worker remembers: two generations of half as many; a word met again moves to the younger one.
+REMEMBERED = 400_000
 #: First bytes in UTF-8 of the combining marks that compose with ASCII letters.
 COMBINING = (b"\xcc", b"\xcd")
 
@@ -30,6 +30,23 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(other)) for b in range(256)]
 
 
+def recall(memory) -> None:
+    """Age a memory whose younger generation is full."""
+    if len(memory.known) > REMEMBERED // 2:
+        memory.older, memory.known = memory.known, {}
+
+
+def promoted(memory, words: set[bytes]) -> list[bytes]:
+    """Move what the older generation knows to the younger one; the words that neither knows."""
+    known, older, new = memory.known, memory.older, []
+    for w in words:
+        if w in older:
+            known[w] = older[w]
+        else:
+            new.append(w)
+    return new
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -41,6 +58,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.marks = self._ids([b".", b","])
         self.spelled = byte_letters()
@@ -92,14 +110,13 @@ class WordEncoder:
         """
         if self.folds:
             texts = [t if b"<|" in t or COMBINING[0] in t or COMBINING[1] in t else t.lower() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        recall(self)
         get = self.known.get
         split = [t.split() for t in texts]
         parts = [list(map(get, words)) for words in split]
         unknown = {w for words, p in zip(split, parts) if None in p for w, x in zip(words, p) if x is None}
         if unknown:
-            self.learn(unknown)
+            self.learn(promoted(self, unknown))
         known = self.known
         for words, p in zip(split, parts):
             yield b"".join([known[w] if x is None else x for w, x in zip(words, p)] if None in p else p)
