@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bitplane, bpe, exact_dedup, mixing
+from . import bitplane, bpe, exact_dedup, mixing, simhash
 
 QUERIES = {
     "op1_bitplane": bitplane.op1_bitplane,
+    "op3_simhash": simhash.op3_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
