@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplane, bpe, exact_dedup, mixing, simhash
+from . import bitplane, bpe, exact_dedup, mixing, simhash, superkmer
 
 QUERIES = {
     "op1_bitplane": bitplane.op1_bitplane,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
+    "op10_superkmer": superkmer.op10_superkmer,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
+    "op10_superkmer": superkmer.ORACLE_SQL,
 }
