@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_at_exit, shared_dir, shuffle_partitions, table, text_or_empty
+from .common import bounded_batches, delete_at_exit, shared_dir, shuffle_partitions, table, text_or_empty
 from .tokens import default_vocabulary, encoder
 
 CHUNK = 1 << 16
@@ -167,8 +167,12 @@ def write_planes(encoded: DataFrame, path: str, cuts: list[int], unit: str = "by
     dealt.mapInArrow(run, "range_no int, seq long, first long, n_ids long, doc_ids array<long>, payload binary").write.parquet(path)
 
 
-def read_planes(spark: SparkSession, path: str) -> DataFrame:
-    """(id, start, n_tokens, ids) of every document below ``path``; start counts the ids of all documents before it."""
+def read_planes(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(id, start, n_tokens, ids) of every document below ``path``; start counts the ids of all documents before it.
+
+    With ``digest``, ids_crc32 stands in the place of ids: their unsigned crc32.
+    """
+    bounded_batches(spark)
     segments = spark.read.parquet(path)
     # one row per range, of which there are as many as partitions were asked for
     totals = segments.groupBy("range_no").agg(F.sum("n_ids").alias("n")).collect()
@@ -182,17 +186,18 @@ def read_planes(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for doc_ids, start, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                documents = unpack(payload)
+            for k in range(b.num_rows):
+                documents = unpack(b.column(2)[k].as_buffer())
                 n = [len(d) // 4 for d in documents]
-                starts = []
+                starts, start = [], b.column(1)[k].as_py()
                 for x in n:
                     starts.append(start)
                     start += x
-                yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(documents, pa.binary())], names=["id", "start", "n_tokens", "ids"])
+                last = pa.array([zlib.crc32(d) for d in documents], pa.int64()) if digest else pa.array(documents, pa.binary())
+                yield pa.record_batch([b.column(0)[k].values, pa.array(starts, pa.int64()), pa.array(n, pa.int64()), last], names=["id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     placed = segments.join(F.broadcast(base), "range_no").select("doc_ids", (F.col("first") + F.col("base")).alias("start"), "payload")
-    return placed.mapInArrow(run, "id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(run, "id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def range_cuts(docs: DataFrame, id_col: str, ranges: int) -> list[int]:
@@ -210,6 +215,7 @@ def token_archive(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     order of their ids' bytes; null ids come last. An empty table makes an archive without segments.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     cuts = range_cuts(docs, id_col, ranges or shuffle_partitions(spark))
     write_planes(encode_documents(docs, id_col, text_col, vocabulary or default_vocabulary(), end_id), path, cuts, unit)
 
@@ -218,12 +224,4 @@ def op1_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     delete_at_exit(spark, path)
     token_archive(table(spark, sf_dir, "documents"), path)
-
-    def digest(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in b.column(3)], pa.int64())
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_planes(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_planes(spark, path, digest=True).withColumnRenamed("id", "doc_id")
