@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplane, bpe, chat, exact_dedup, mixing, simhash, superkmer, warc
+from . import bitplane, bpe, chat, exact_dedup, mixing, secrets, simhash, superkmer, warc
 
 QUERIES = {
     "op1_bitplane": bitplane.op1_bitplane,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
     "op8_warc": warc.op8_warc,
+    "op9_secrets": secrets.op9_secrets,
     "op10_superkmer": superkmer.op10_superkmer,
 }
 
