@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bitplane, bpe, chat, exact_dedup, mixing, secrets, simhash, superkmer, warc
+from . import bitplane, bpe, chat, exact_dedup, mixing, quality, secrets, simhash, superkmer, warc
 
 QUERIES = {
     "op1_bitplane": bitplane.op1_bitplane,
+    "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
     "op4_chat": chat.op4_chat,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
