@@ -7,8 +7,10 @@ u leads to, r the state that v leads to from q. A copy of q without its v arc is
 and wherever a u arc leaves a state, an arc labelled uv to r is added beside it. All arcs of one label lead to one
 state, so the targets are one table by token. Copies share their arcs: a state keeps its parent and the label it lost,
 and whether an arc exists is found by going up from the later of state and token, to the state's parent or to the
-token's left part, whose arc the added arc stands beside. Tables: ``target``, ``left`` and ``born`` by token, ``parent``,
-``lost`` and ``made`` by state.
+token's left part, whose arc the added arc stands beside. The copies made for one label u form a chain; the labels lost
+along it are one table, and the copy that was the latest at some merge is found by bisection, so going up takes as many
+steps as tokens have parts. Tables: ``target``, ``left`` and ``born`` by token, ``made`` and ``chain`` by state, and by chain
+its states, when each was made, when each label was lost, and the state before the first.
 
 Encoding. A pre-split word is read from left to right. At each position the vocabulary's tokens that begin there are
 tried from longest to shortest; a token is taken if the automaton has its arc from the present state. The accepted
@@ -25,6 +27,7 @@ import hashlib
 import json
 import struct
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, table, text_or_empty
-from .tokens import byte_letters, default_vocabulary, promoted, recall
+from .tokens import byte_letters, default_vocabulary, folded, promoted, recall
 
-#: Spelled words whose tokens a worker remembers besides, before it starts anew.
-PIECES = 100_000
+#: Words and arcs that a worker remembers.
+REMEMBERED = 200_000
+ARCS = 150_000
 
 
 class Automaton:
@@ -45,7 +49,11 @@ class Automaton:
         n = max(vocab.values()) + 1
         made_by = {vocab[a + b]: k for k, (a, b) in enumerate(merges, 1)}
         self.target, self.left, self.born = [0] * n, [-1] * n, [0] * n
-        self.parent, self.lost, self.made = [-1], [-1], [0]
+        self.made, self.chain = [0], [-1]
+        self.chain_states: dict[int, list[int]] = {}
+        self.chain_made: dict[int, list[int]] = {}
+        self.chain_lost: dict[int, dict[int, int]] = {}
+        self.chain_base: dict[int, int] = {}
         self.live = [True] * n
         for t, k in made_by.items():
             self.live[t] = False
@@ -59,10 +67,15 @@ class Automaton:
             if not self.has_arc(q, v):
                 raise ValueError(f"merge {k} ({a}, {b}) can't take place")
             r = self.target[v]
-            self.parent.append(q)
-            self.lost.append(v)
+            if u not in self.chain_states:
+                self.chain_states[u], self.chain_made[u], self.chain_lost[u], self.chain_base[u] = [], [], {}, q
+            new = len(self.made)
             self.made.append(k)
-            self.target[u] = len(self.parent) - 1
+            self.chain.append(u)
+            self.chain_states[u].append(new)
+            self.chain_made[u].append(k)
+            self.chain_lost[u][v] = k
+            self.target[u] = new
             self.target[uv], self.left[uv], self.born[uv], self.live[uv] = r, u, k, True
         memo.clear()
         # labels by spelling, for looking up what begins at a position; tokens that end a word are spelled without the end mark
@@ -76,16 +89,21 @@ class Automaton:
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether an arc labelled token leaves the state."""
-        parent, lost, made, left, born = self.parent, self.lost, self.made, self.left, self.born
+        made, left, born = self.made, self.left, self.born
         while True:
-            if born[token] and born[token] >= made[state]:
+            b = born[token]
+            if b and b >= made[state]:
                 token = left[token]  # added beside its left part's arc, after the state of the same merge was made
-            elif state == 0:
+                continue
+            if state == 0:
                 return True
-            elif lost[state] == token:
+            u = self.chain[state]
+            lost = self.chain_lost[u].get(token)
+            if lost is not None and lost <= made[state]:
                 return False
-            else:
-                state = parent[state]
+            # up to the copy that was there when the token was made
+            i = bisect_right(self.chain_made[u], b)
+            state = self.chain_states[u][i - 1] if i else self.chain_base[u]
 
     def encode(self, word: str) -> list[int]:
         """The tokens of one pre-split word, spelled in the vocabulary's symbols."""
@@ -93,7 +111,7 @@ class Automaton:
         whole = final.get(word)
         if whole is not None:  # from the first state every label has an arc
             return [whole]
-        if len(memo) > 400_000:
+        if len(memo) > ARCS:
             memo.clear()
         begun, shorter, split_end = self.begun, self.shorter, final is not inner
         path: list[int] = []
@@ -163,23 +181,23 @@ class AutomatonTokenizer:
         self.spelled = byte_letters()
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
         self.older: dict[bytes, tuple[bytes, bytes]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.folds = "Lowercase" in str(library.normalizer)
+        self.marks = {m: self._pair(self.word_ids(m.decode())) for m in (b".", b",")}
 
     def spell(self, piece: str) -> str:
         return "".join(map(self.spelled.__getitem__, piece.encode("utf-8")))
 
-    def _plain(self, text: str) -> list[int] | None:
-        """A run of Latin letters, perhaps with one full stop or comma at its end, needs no library to split."""
-        mark = ""
-        if text[-1:] in (".", ","):
-            text, mark = text[:-1], text[-1]
-        low = text.lower()
-        if not text.isalpha() or not low.isalpha() or max(low) >= "ɐ" or not unicodedata.is_normalized("NFC", low):
+    def _plain(self, word: bytes) -> list[int] | None:
+        """The ids of a run of Latin letters, which needs no library to normalise and split; None for any other word."""
+        if self.folds and word.isalpha():  # of bytes: ASCII letters
+            return self.automaton.encode(word.lower().decode("ascii"))
+        try:
+            text = word.decode("utf-8").lower()
+        except UnicodeDecodeError:
+            return None
+        if not self.folds or not text.isalpha() or max(text) >= "\u0250" or not unicodedata.is_normalized("NFC", text):
             return None
-        ids = self.pieces.get(low)
-        if ids is None:
-            ids = self.pieces[low] = self.automaton.encode(self.spell(low))
-        return ids + self.automaton.encode(mark) if mark else ids
+        return self.automaton.encode(self.spell(text))
 
     def word_ids(self, text: str) -> list[int]:
         """The ids of a text; the general way, for one word or many."""
@@ -193,14 +211,26 @@ class AutomatonTokenizer:
         return ids
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
+        known, older = self.known, self.older
         for w in words:
-            text = w.decode("utf-8", "replace")
-            ids = self._plain(text)
-            if ids is None:
-                ids = self.word_ids(text)
-            self.known[w] = (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode("utf-8"))
+            stem = w[:-1] if w[-1:] in (b".", b",") else w
+            ids = None
+            if stem is not w and stem:  # letters and the mark after them are split in any case
+                seen = known.get(stem) or older.get(stem)
+                if seen is None or not stem.isalpha():
+                    ids = self._plain(stem)
+                    seen = self._pair(ids) if ids is not None else None
+                if seen is not None:
+                    known[stem] = seen
+                    mark = self.marks[w[-1:]]
+                    known[w] = (seen[0] + mark[0], seen[1] + b" " + mark[1])
+                    continue
+            else:
+                ids = self._plain(w)
+            known[w] = self._pair(ids if ids is not None else self.word_ids(w.decode("utf-8", "replace")))
+
+    def _pair(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode("utf-8")
 
     def decode(self, ids) -> str:
         """The labels of the arcs taken, with a space between, as the library joins tokens where a file names no decoder."""
@@ -208,7 +238,9 @@ class AutomatonTokenizer:
 
     def encode_decode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        recall(self)
+        if self.folds:
+            texts = folded(texts)
+        recall(self, REMEMBERED)
         split = [t.split() for t in texts]
         get = self.known.get
         parts = [list(map(get, words)) for words in split]

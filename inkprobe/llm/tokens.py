@@ -12,7 +12,7 @@ import struct
 from collections.abc import Iterable, Iterator
 
 #: Words a worker remembers: two generations of half as many; a word met again moves to the younger one.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: First bytes in UTF-8 of the combining marks that compose with ASCII letters.
 COMBINING = (b"\xcc", b"\xcd")
 
@@ -30,9 +30,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(other)) for b in range(256)]
 
 
-def recall(memory) -> None:
+def folded(texts: list[bytes]) -> list[bytes]:
+    """The texts with ASCII letters in lower case, for a vocabulary that folds case: but for texts in which that could change
+    what composes, or make a special token's name."""
+    return [t if b"<|" in t or COMBINING[0] in t or COMBINING[1] in t else t.lower() for t in texts]
+
+
+def recall(memory, most: int = REMEMBERED) -> None:
     """Age a memory whose younger generation is full."""
-    if len(memory.known) > REMEMBERED // 2:
+    if len(memory.known) > most // 2:
         memory.older, memory.known = memory.known, {}
 
 
@@ -103,13 +109,9 @@ class WordEncoder:
             known.update(zip(other, self._ids(other)))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text. Words are bytes between ASCII white space; other white space stays inside a word.
-
-        The vocabulary folds case, so ASCII letters are folded first where that can't change what composes or make a
-        special token's name.
-        """
+        """The ids of each text. Words are bytes between ASCII white space; other white space stays inside a word."""
         if self.folds:
-            texts = [t if b"<|" in t or COMBINING[0] in t or COMBINING[1] in t else t.lower() for t in texts]
+            texts = folded(texts)
         recall(self)
         get = self.known.get
         split = [t.split() for t in texts]
