@@ -438,7 +438,7 @@ def normality_claim(papers: DataFrame) -> DataFrame:
 
 @check("stats.fallacies")
 def fallacies(papers: DataFrame) -> DataFrame:
-    both = F.trim(F.concat_ws("\n", col("results"), col("discussion")))
+    both = F.btrim(F.concat_ws("\n", col("results"), col("discussion")), F.lit(" \n"))
     return _by_severity(papers, "stats.fallacies", "Absence of evidence", first_of(both, F.col("methods"), F.col("full_text")), P.FALLACIES, 0.85, 30, 100)
 
 

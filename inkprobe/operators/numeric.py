@@ -16,7 +16,7 @@ def long_form(df: DataFrame, columns: list[str], value: str = "value", name: str
 
 def first_digit(value: Column) -> Column:
     """The first digit of a finite value of 1 or more, else null."""
-    whole = F.floor(value).cast("decimal(38,0)").cast("string")
+    whole = F.when(value < 2.0**53, F.floor(value).cast("string")).otherwise(value.try_cast("decimal(38,0)").cast("string"))
     return F.when((value >= 1) & (value < 1e37), F.substring(whole, 1, 1).cast("int"))
 
 
