@@ -22,5 +22,6 @@ ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op9_secrets": secrets.ORACLE_SQL,
     "op10_superkmer": superkmer.ORACLE_SQL,
 }

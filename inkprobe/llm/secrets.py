@@ -101,8 +101,42 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(by_row, "rid", "left").select("id", "found", F.coalesce("spans", empty).alias("spans"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
 
 
+def is_kind(kind: str):
+    no = KINDS.index(kind)
+    return lambda s: s["kind"] == no
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"] < len(BASE))
-    count = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(len(BASE))]
+    count = [F.size(F.filter("found", is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select(F.col("id").alias("doc_id"), *count, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def _found_sql(kind: str) -> str:
+    pattern = PATTERNS[kind].replace("'", "''")
+    return f"SELECT doc_id, source, {KINDS.index(kind)} AS no, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gs FROM t WHERE regexp_matches(text, '{pattern}')"
+
+
+ORACLE_SQL = f"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(map(_found_sql, KINDS))}),
+each AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found),
+placed AS (
+  SELECT doc_id, source, no, ms[i] AS m, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start FROM each
+),
+spans AS (
+  SELECT doc_id, source, no, start, start + length(m) AS until, CASE WHEN no = 0 THEN regexp_replace(m, '{BEFORE_VALUE.replace("'", "''")}', '') ELSE m END AS value FROM placed
+),
+kept AS (SELECT * FROM spans WHERE no <> 0 OR length(value) >= {MIN_VALUE}),
+owned AS (
+  SELECT value, count(DISTINCT doc_id) > {MAX_REPOSITORIES} OR count(DISTINCT source) > {MAX_OWNERS} AS copied FROM kept GROUP BY value
+),
+shown AS (
+  SELECT k.*, [{", ".join(f"'{k}'" for k in KINDS)}][no + 1] || ':' || start || ':' || until AS s, no < {len(BASE)} AS base, copied FROM kept k JOIN owned o ON k.value = o.value
+)
+SELECT t.doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY start, no) FILTER (base), '')) AS base_sha256,
+       coalesce(string_agg(s, ',' ORDER BY start, no) FILTER (base OR NOT copied), '') AS spans
+FROM t LEFT JOIN shown ON t.doc_id = shown.doc_id GROUP BY t.doc_id
+"""

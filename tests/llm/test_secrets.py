@@ -60,3 +60,10 @@ def test_query(spark):
         assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [want.count(k) for k in ("assign:", "access:", "hex:")]
+
+
+def test_counts_by_kind(spark, tmp_path):
+    df = spark.createDataFrame([(1, "token=abcdefgh password: qwertz " + "0" * 24, "s")], "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    r = secrets.op9_secrets(spark, str(tmp_path)).first()
+    assert (r.n_assign, r.n_access, r.n_hex) == (2, 0, 1)
