@@ -71,3 +71,64 @@ def tolerant_json(text: Column, schema: str) -> Column:
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     braced = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     return F.coalesce(parse(text), parse(fenced), parse(braced))
+
+
+#: What makes a paragraph worth showing to a reviewer. Fixed values.
+EVIDENCE_WORDS = ("n=", "n =", "p<", "p <", "p=", "p =", "p>", "p >", "mice", "cells", "patients", "triplicate", "sd", "sem", "western", "loading", "biological", "independent", "experiment", "replicate")
+
+
+def evidence_paragraphs(text: Column, most: int = 3000, words=EVIDENCE_WORDS) -> Column:
+    """The paragraphs that hold one of the words, in order, as far as a budget of characters goes: a running sum over them.
+    What is left of the budget, if above 200, goes to a part of the first paragraph that does not fit."""
+    any_word = "|".join(w.replace("(", r"\(") for w in words)
+    held = F.transform(F.filter(F.split(text, "\n\n"), lambda p: F.lower(p).rlike(any_word)), lambda p: F.btrim(p, F.lit(" \t\n\r")))
+    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
+
+    def step(acc, p):
+        left = most - F.length(acc["out"])
+        fits = F.length(p) + 2 <= left
+        part = F.when(left > 200, F.concat(acc["out"], F.substring(p, F.lit(1), left), F.lit("..."))).otherwise(acc["out"])
+        out = F.when(acc["full"], acc["out"]).when(fits, F.concat(acc["out"], p, F.lit("\n\n"))).otherwise(part)
+        return F.struct(out.alias("out"), (acc["full"] | ~fits).alias("full"))
+
+    return F.btrim(F.aggregate(held, start, step)["out"], F.lit(" \t\n\r"))
+
+
+def experiment_types(text: Column) -> Column:
+    """The kinds of experiment a text speaks of; 'unknown' where there is none."""
+    found = F.array_compact(F.array(*[F.when(text.rlike(P.native(p)), F.lit(name)) for name, p in P.EXPERIMENTS]))
+    return F.when(F.size(found) == 0, F.array(F.lit("unknown"))).otherwise(found)
+
+
+def figure_captions(pages: DataFrame) -> DataFrame:
+    """(paper_id, page, figure, caption) of pages (paper_id, page, text): at most 300 characters, a page's last caption."""
+    pattern = F.lit(r"(?im)^\s*(?:Figure|Fig)\.?\s*(\d+)\b\.?[ \t]*([^\n]+)")
+    last = lambda k: F.element_at(F.regexp_extract_all("text", pattern, F.lit(k)), -1)
+    found = pages.where(F.regexp_like("text", pattern))
+    return found.select("paper_id", "page", last(1).alias("figure"), F.btrim(F.substring(F.btrim(last(2), F.lit(" |")), 1, 300)).alias("caption"))
+
+
+def image_refs(evidence: Column) -> Column:
+    """Names of images in lines of evidence: those made (after an arrow) and those looked at (in brackets)."""
+    made = F.filter(F.transform(evidence, lambda e: F.regexp_extract(e, r"→\s*(\S+\.png)", 1)), lambda x: x != "")
+    seen = F.flatten(F.transform(evidence, lambda e: F.regexp_extract_all(e, F.lit(r"\[([^\]]+\.(?:png|jpg|jpeg|tiff?))\]"), F.lit(1))))
+    return F.struct(made.alias("outputs"), seen.alias("sources"))
+
+
+def page_key(name: Column) -> Column:
+    """A key by which page10 comes after page2."""
+    return F.coalesce(F.regexp_extract(name, r"page[_-]?(\d+)", 1).try_cast("int"), F.lit(2**31 - 1))
+
+
+def abstract_or_head(text: Column, abstract: Column, introduction: Column, first_heading: Column) -> Column:
+    """The abstract; without one, what stands before the introduction (its last 2,000 characters), or else the first paragraph
+    above 150 characters before the first heading and what follows it (3,000 at most, if above 200)."""
+    at = F.position(F.substring(introduction, 1, 50), text) - 1
+    before = F.right(F.btrim(F.substring(text, F.lit(1), at), F.lit(" \t\n\r")), F.lit(2000))
+    end = F.coalesce(first_heading, F.length(text))
+    head = F.substring(text, F.lit(1), end)
+    long = F.get(F.filter(F.transform(F.split(head, "\n\n"), lambda p: F.btrim(p, F.lit(" \t\n\r"))), lambda p: F.length(p) > 150), F.lit(0))
+    begin = F.when(long.isNotNull(), F.position(long, head) - 1).otherwise(F.least(F.lit(400), F.floor(end / 2)))
+    body = F.btrim(F.substring(head, begin.cast("int") + 1, end), F.lit(" \t\n\r"))
+    fallback = F.when(F.length(body) > 200, F.substring(body, 1, 3000)).otherwise("")
+    return F.when(F.coalesce(abstract, F.lit("")) != "", abstract).when((F.coalesce(introduction, F.lit("")) != "") & (at > 100), before).otherwise(fallback)
