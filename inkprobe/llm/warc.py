@@ -75,12 +75,13 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM)
     a null url an empty one."""
     index = stored(index_pages(pages, revisit_from))
     with_headers(index).write.parquet(f"{path}/headers")
-    # payloads move once, by page, and only those that are kept; a repeated page is met once again by its digest
-    keep = index.where("is_keeper").select(F.col("page_id").alias("keep_page"), "digest")
-    body = pages.select(F.col("page_id").cast("long").alias("page"), F.encode(text_or_empty("html"), "utf-8").alias("payload"))
-    body = body.withColumn("own", F.unhex(F.sha2("payload", 256)))
-    kept = body.join(keep, F.col("page").eqNullSafe(F.col("keep_page")) & (F.col("own") == F.col("digest")), "left_semi")
-    kept.groupBy("page", "own").agg(F.first("payload").alias("payload")).select(F.col("own").alias("digest"), "payload").write.parquet(f"{path}/payloads")
+    # payloads move once, by page and digest, and only those that are kept; a repeated page meets itself there
+    page = F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63)))
+    keep = index.where("is_keeper").select(page.alias("page"), "digest").distinct()
+    body = pages.select(page.alias("page"), F.encode(text_or_empty("html"), "utf-8").alias("payload"))
+    body = body.withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    kept = body.join(keep, ["page", "digest"], "left_semi")
+    kept.groupBy("page", "digest").agg(F.first("payload").alias("payload")).select("digest", "payload").write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -97,15 +98,21 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return read_archive(spark, path).select("page_id", F.concat(F.encode("header", "utf-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
 
 
+def described(spark: SparkSession, path: str) -> DataFrame:
+    """The headers, each with the length and SHA-1 of its full payload as it is stored. Every payload is read and verified where
+    it lies; only what describes it meets the headers."""
+    payloads = spark.read.parquet(f"{path}/payloads")
+    ok = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.sha1("payload")).otherwise(F.raise_error(F.lit("a payload does not match its digest")).cast("string"))
+    facts = payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), ok.alias("payload_digest"))
+    return spark.read.parquet(f"{path}/headers").join(facts, "digest")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     delete_at_exit(spark, path)
     write_archive(table(spark, sf_dir, "pages"), path)
-    payload = F.col("payload")
-    return read_archive(spark, path).select(
-        "page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.regexp_extract("header", "WARC-Payload-Digest: sha1:([0-9a-f]{40})\r\n", 1).alias("payload_digest"),
-        F.regexp_extract("header", "WARC-Type: ([a-z]+)\r\n", 1).alias("record_type"), "refers_to",
-    )
+    kind = F.regexp_extract("header", "WARC-Type: ([a-z]+)\r\n", 1)
+    return described(spark, path).select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 ORACLE_SQL = r"""
