@@ -30,6 +30,8 @@ BATCH = 8 << 20
 REMEMBERED = 300_000
 NO_ID = (1 << 63) - 1
 HEAD = struct.Struct("<II")
+#: Of each place of a super-k-mer: its document, the document's check, its first window, its entry.
+PLACE = ("<i8", "<i4", "<i4", "<i4")
 
 
 class WordHashes(dict):
@@ -42,6 +44,14 @@ class WordHashes(dict):
         return h
 
 
+class WordNumbers(dict):
+    """Word to its number in order of appearance."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
 def mixed(x):
     """A bijection of 64-bit numbers that leaves no order of the words' hashes."""
     import numpy as np
@@ -108,16 +118,17 @@ class Batch:
         import numpy as np
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         by: dict[int, list] = {}
         for s, (b, doc, n, places) in self.best.items():
             by.setdefault(b, []).append((s, doc, n, places))
         self.best, self.bytes = {}, 0
         for b, entries in by.items():
-            numbers = np.array([(doc, c, a, n, i) for i, (_, doc, n, places) in enumerate(entries) for c, a in places], dtype="<i8")
+            places = [(e[1], c, a, i) for i, e in enumerate(entries) for c, a in e[3]]
+            numbers = [np.array(x, dtype=t) for x, t in zip(zip(*places), PLACE)]
             text = b"\n".join([e[0] for e in entries])
             sizes = np.array([e[2] for e in entries], dtype="<i4")
-            yield b, squeeze(HEAD.pack(len(entries), len(numbers)) + sizes.tobytes() + numbers.T.tobytes() + text)
+            yield b, squeeze(b"".join([HEAD.pack(len(entries), len(places)), sizes.tobytes(), *[x.tobytes() for x in numbers], text]))
 
 
 def judge(blobs: list[bytes], k: int = K):
@@ -126,22 +137,23 @@ def judge(blobs: list[bytes], k: int = K):
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
-    known: dict[bytes, int] = {}
-    sizes, numbers, ids, at = [], [], [], 0
+    known = WordNumbers()
+    sizes, numbers, ids, entries = [], [], [], 0
     for blob in blobs:
         raw = expand(blob)
         n, places = HEAD.unpack_from(raw)
         sizes.append(np.frombuffer(raw, "<i4", n, HEAD.size))
-        own = np.frombuffer(raw, "<i8", 5 * places, HEAD.size + 4 * n).reshape(5, places).copy()
-        own[4] += at
-        at += n
+        at, own = HEAD.size + 4 * n, []
+        for t in PLACE:
+            own.append(np.frombuffer(raw, t, places, at).astype(np.int64))
+            at += own[-1].size * np.dtype(t).itemsize
+        own[3] += entries
+        entries += n
         numbers.append(own)
-        words = raw[HEAD.size + 4 * n + 40 * places :].split()
-        for w in words:
-            known.setdefault(w, len(known))
+        words = raw[at:].split()
         ids.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
     sizes, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
-    doc, check, first, windows, entry = np.concatenate(numbers, axis=1)
+    doc, check, first, entry = (np.concatenate(x) for x in zip(*numbers))
     lengths = sizes + k - 1
     begins = np.cumsum(lengths) - lengths
     # every window's place, entry and document; one document for an entry
@@ -272,7 +284,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has no words. A null id counts as larger than any other. Rows that repeat an id never remove each other's words.
     """
     text = F.encode(text_or_empty(text_col), "utf-8")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("check"), text.alias("text"), F.col(id_col).isNull().alias("null_id"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_or_empty(text_col)).bitwiseAND(0x7FFFFFFF).alias("check"), text.alias("text"), F.col(id_col).isNull().alias("null_id"))
     marks = repeated_windows(rows, k, m)
     # a document's own marks, of which there are no more than it has windows
     marks = marks.groupBy("id", "check").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
