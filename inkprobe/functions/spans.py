@@ -17,8 +17,6 @@ SPAN = T.StructType(
         T.StructField("context", T.StringType()), T.StructField("groups", T.ArrayType(T.StringType())),
     ]
 )
-#: No check reads more of a section than this. A fixed value.
-MOST_CHARS = 500_000
 
 
 def find_spans(text: str | None, compiled: Sequence[re.Pattern], before: int, after: int, once: bool = True) -> list[tuple]:
@@ -50,5 +48,5 @@ def spans(text: Column, patterns: Sequence[str], before: int = 50, after: int =
 
 
 def first_of(*texts: Column) -> Column:
-    """The first text that isn't empty, cut to what checks read; empty where there is none."""
-    return F.substring(F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], F.lit("")), 1, MOST_CHARS)
+    """The first text that isn't empty, whole; empty where there is none."""
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], F.lit(""))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import stats
-from ..functions.spans import MOST_CHARS, first_of, find_spans, spans
+from ..functions.spans import first_of, find_spans, spans
 from ..schema import LOCATION
 from .registry import check
 
@@ -312,7 +312,7 @@ def benford(digits: list[int]) -> dict:
 def _benford_ladder(results: str, abstract: str, full: str):
     if not (results or abstract or full):
         return NO_TEXT
-    text = (results + ("\n" + abstract if len(results) < 500 else "") if results else full)[:MOST_CHARS]
+    text = results + ("\n" + abstract if len(results) < 500 else "") if results else full
     b = benford(first_digits(text))
     if b["n"] < 50:
         return "green", "fewer than 50 digits", [], 0.35, False
