@@ -11,8 +11,8 @@ A chunk's ids are transposed: plane k holds bit k of every id, eight ids a byte,
 zstandard by itself. ``planes`` is the number of bits in the segment's largest id. With ``unit="byte"``, the
 default because it packs ids of words tighter and four times as fast, a plane holds byte k of every id instead.
 
-Documents are dealt to ranges of ids; a range is sorted by id and written as consecutive segments, with the count of
-the ids before it in the range. Segments are rows of a table in shared storage, so writing survives lost executors and
+Documents are dealt to ranges of ids, whose number grows with the table; a range is sorted by id and written as
+consecutive segments, with the count of the ids before it in the range. Segments are rows of a table in shared storage, so writing survives lost executors and
 needs no file system but Spark's.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,10 @@ from .tokens import default_vocabulary, encoder
 
 CHUNK = 1 << 16
 SEGMENT = 1 << 19
+#: Bytes of a table, as stored, for which there is one range of ids.
+RANGE_BYTES = 128 << 20
+#: What Spark says of tables whose size it doesn't know is this or more.
+UNKNOWN_SIZE = 1 << 60
 END_ID = 2
 MAGIC = b"IPB1"
 HEAD = struct.Struct("<4sIIIIQ")
@@ -112,8 +117,38 @@ def unpack(segment: bytes) -> list[bytes]:
     return documents
 
 
-def encode_documents(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
-    """(id, ids): each whole text's ids and the end id."""
+class Ranges:
+    """How ids are dealt to numbered ranges, in order of id, null ids last.
+
+    ``begins``: ascending ids, ``parts``: into how many ranges each id interval goes, the first being that below all
+    ``begins`` and the last that of null ids. An interval of more than one range is one id's, and its rows are dealt by the
+    crc32 of their ids, so rows that repeat an id are not all one task's.
+    """
+
+    def __init__(self, begins: list[int], parts: list[int]):
+        self.begins, self.parts = begins, parts
+
+    def __len__(self) -> int:
+        return sum(self.parts)
+
+    def numbers(self, ids, rows: list[bytes]):
+        """Each row's range, of an Arrow array of ids and the rows' own ids."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts = np.array(self.parts, np.int64)
+        place = np.searchsorted(np.array(self.begins, np.int64), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), "right")
+        place[ids.is_null().to_numpy(zero_copy_only=False)] = len(parts) - 1
+        first = np.cumsum(parts) - parts
+        share = np.zeros(len(place), np.int64)
+        for i in np.flatnonzero(parts[place] > 1).tolist():
+            share[i] = zlib.crc32(rows[i])
+        return pa.array(first[place] + share % parts[place], pa.int32())
+
+
+def encode_documents(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, ranges: Ranges) -> DataFrame:
+    """(id, ids, range_no): each whole text's ids and the end id."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator) -> Iterator:
@@ -121,21 +156,18 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, vocabulary: st
 
         encode = encoder(vocabulary).encode
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 ids = [x + end for x in encode(part.column(1).to_pylist())]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), ranges.numbers(part.column(0), ids)], names=["id", "ids", "range_no"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_or_empty(text_col), "utf-8").alias("text")).mapInArrow(run, "id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_or_empty(text_col), "utf-8").alias("text")).mapInArrow(run, "id long, ids binary, range_no int")
 
 
-def write_planes(encoded: DataFrame, path: str, cuts: list[int], unit: str = "byte", chunk: int = CHUNK, segment: int = SEGMENT) -> None:
-    """Write (id, ids) rows in ascending order of id, null ids last, as segments below ``path``.
-
-    ``cuts``: ascending ids at which a new range begins. A segment ends with the document that fills it.
-    """
-    range_no = F.when(F.col("id").isNull(), len(cuts)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("id"))) if cuts else F.lit(0))
-    dealt = encoded.withColumn("range_no", range_no).repartition(max(1, len(cuts) + 1), "range_no").sortWithinPartitions("range_no", F.col("id").asc_nulls_last(), "ids")
+def write_planes(encoded: DataFrame, path: str, ranges: int, unit: str = "byte", chunk: int = CHUNK, segment: int = SEGMENT) -> None:
+    """Write (id, ids, range_no) rows, range by range in ascending order of id, null ids last, as segments below ``path``.
+    A segment ends with the document that fills it."""
+    dealt = encoded.repartition(max(1, ranges), "range_no").sortWithinPartitions("range_no", F.col("id").asc_nulls_last(), "ids")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -174,7 +206,7 @@ def read_planes(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     """
     bounded_batches(spark)
     segments = spark.read.parquet(path)
-    # one row per range, of which there are as many as partitions were asked for
+    # one row per range, of which there is one for some 128 MB of the table
     totals = segments.groupBy("range_no").agg(F.sum("n_ids").alias("n")).collect()
     base, at = [], 0
     for r in sorted(totals, key=lambda r: r["range_no"]):
@@ -200,24 +232,37 @@ def read_planes(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     return placed.mapInArrow(run, "id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
-def range_cuts(docs: DataFrame, id_col: str, ranges: int) -> list[int]:
-    """Ids that cut the table into about equal ranges."""
-    if ranges < 2:
-        return []
-    at = F.percentile_approx(F.col(id_col).cast("long"), [k / ranges for k in range(1, ranges)], 10_000)
-    return sorted(set(docs.select(at.alias("c")).first()["c"] or []))
+def id_ranges(docs: DataFrame, id_col: str, least: int, range_bytes: int = RANGE_BYTES) -> Ranges:
+    """Ranges of about equal numbers of rows: ``least`` or, of a larger table, one for ``range_bytes`` of it as stored."""
+    row = docs.select(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"), F.count("id").alias("known")).first()
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    want = min(max(least, size // range_bytes if size < UNKNOWN_SIZE else 0), row["n"])
+    if want < 2:
+        return Ranges([], [1, 1])
+    nulls = max(1, want * (row["n"] - row["known"]) // row["n"])
+    at = F.percentile_approx(F.col(id_col).cast("long"), [k / want for k in range(1, want)], max(10_000, 2 * want))
+    cuts = docs.select(at.alias("c")).first()["c"] or []
+    # an id that is more than one quantile is a range by itself, and dealt to as many as it is quantiles
+    times = Counter(cuts)
+    parts = dict.fromkeys(times, 1)
+    for c, n in times.items():
+        if n > 1:
+            parts[c] = n
+            parts.setdefault(c + 1, 1)
+    begins = sorted(c for c in parts if c < 1 << 63)
+    return Ranges(begins, [1, *[parts[c] for c in begins], nulls])
 
 
 def token_archive(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, unit: str = "byte", ranges: int | None = None) -> None:
     """Encode every whole text and write the ids in ascending order of id.
 
     Null text is empty: its document is the end id alone. Rows that repeat an id are written one after the other, in
-    order of their ids' bytes; null ids come last. An empty table makes an archive without segments.
+    order of their ids' crc32 or bytes; null ids come last. An empty table makes an archive without segments.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    cuts = range_cuts(docs, id_col, ranges or shuffle_partitions(spark))
-    write_planes(encode_documents(docs, id_col, text_col, vocabulary or default_vocabulary(), end_id), path, cuts, unit)
+    dealt = id_ranges(docs, id_col, ranges or shuffle_partitions(spark))
+    write_planes(encode_documents(docs, id_col, text_col, vocabulary or default_vocabulary(), end_id, dealt), path, len(dealt), unit)
 
 
 def op1_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:

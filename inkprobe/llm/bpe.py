@@ -26,7 +26,6 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, table, text_or_empty
-from .tokens import byte_letters, default_vocabulary, folded, promoted, recall
+from .tokens import MARKS, byte_letters, default_vocabulary, folded, joined, latin_letters, looked_up, word_table
 
 #: Words and arcs that a worker remembers.
 REMEMBERED = 200_000
@@ -182,23 +181,11 @@ class AutomatonTokenizer:
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
         self.older: dict[bytes, tuple[bytes, bytes]] = {}
         self.folds = "Lowercase" in str(library.normalizer)
-        self.marks = {m: self._pair(self.word_ids(m.decode())) for m in (b".", b",")}
+        self.marks = {m: self._pair(self.word_ids(m.decode())) for m in MARKS} if self.folds else {}
 
     def spell(self, piece: str) -> str:
         return "".join(map(self.spelled.__getitem__, piece.encode("utf-8")))
 
-    def _plain(self, word: bytes) -> list[int] | None:
-        """The ids of a run of Latin letters, which needs no library to normalise and split; None for any other word."""
-        if self.folds and word.isalpha():  # of bytes: ASCII letters
-            return self.automaton.encode(word.lower().decode("ascii"))
-        try:
-            text = word.decode("utf-8").lower()
-        except UnicodeDecodeError:
-            return None
-        if not self.folds or not text.isalpha() or max(text) >= "\u0250" or not unicodedata.is_normalized("NFC", text):
-            return None
-        return self.automaton.encode(self.spell(text))
-
     def word_ids(self, text: str) -> list[int]:
         """The ids of a text; the general way, for one word or many."""
         ids: list[int] = []
@@ -211,26 +198,22 @@ class AutomatonTokenizer:
         return ids
 
     def learn(self, words: list[bytes]) -> None:
+        """Remember of each word its ids and its labels, each with a space before it."""
         known, older = self.known, self.older
         for w in words:
-            stem = w[:-1] if w[-1:] in (b".", b",") else w
-            ids = None
-            if stem is not w and stem:  # letters and the mark after them are split in any case
-                seen = known.get(stem) or older.get(stem)
-                if seen is None or not stem.isalpha():
-                    ids = self._plain(stem)
-                    seen = self._pair(ids) if ids is not None else None
-                if seen is not None:
-                    known[stem] = seen
-                    mark = self.marks[w[-1:]]
-                    known[w] = (seen[0] + mark[0], seen[1] + b" " + mark[1])
-                    continue
-            else:
-                ids = self._plain(w)
-            known[w] = self._pair(ids if ids is not None else self.word_ids(w.decode("utf-8", "replace")))
+            mark = self.marks.get(w[-1:])
+            stem = w[:-1] if mark else w
+            low = (stem if stem.isalpha() and stem.islower() else latin_letters(stem)) if self.folds and stem else None
+            if low is None:
+                known[w] = self._pair(self.word_ids(w.decode("utf-8", "replace")))
+                continue
+            pair = known.get(low) or older.get(low) or self._pair(self.automaton.encode(low.decode("ascii") if low.isascii() else self.spell(low.decode("utf-8"))))
+            known[low] = pair
+            if low is not w:
+                known[w] = (pair[0] + mark[0], pair[1] + mark[1]) if mark else pair
 
     def _pair(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode("utf-8")
+        return struct.pack(f"<{len(ids)}I", *ids), b"".join([b" " + self.label[i].encode("utf-8") for i in ids])
 
     def decode(self, ids) -> str:
         """The labels of the arcs taken, with a space between, as the library joins tokens where a file names no decoder."""
@@ -238,20 +221,13 @@ class AutomatonTokenizer:
 
     def encode_decode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        if self.folds:
-            texts = folded(texts)
-        recall(self, REMEMBERED)
-        split = [t.split() for t in texts]
-        get = self.known.get
-        parts = [list(map(get, words)) for words in split]
-        unknown = {w for words, p in zip(split, parts) if None in p for w, x in zip(words, p) if x is None}
-        if unknown:
-            self.learn(promoted(self, unknown))
-        known = self.known
-        for words, p in zip(split, parts):
-            if None in p:
-                p = [known[w] if x is None else x for w, x in zip(words, p)]
-            yield b"".join([x[0] for x in p]), b" ".join([x[1] for x in p if x[0]])
+        words, places, offsets = word_table(folded(texts) if self.folds else texts)
+        pairs = looked_up(self, words, REMEMBERED)
+        return zip(joined([x[0] for x in pairs], places, offsets), joined([x[1] for x in pairs], places, offsets, skip=1))
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        words, places, offsets = word_table(folded(texts) if self.folds else texts)
+        return joined([x[0] for x in looked_up(self, words, REMEMBERED)], places, offsets)
 
 
 _TOKENIZERS: dict[str, AutomatonTokenizer] = {}
@@ -278,10 +254,10 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         both = tokenizer(path).encode_decode
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                pairs = list(both(part.column(1).to_pylist()))
-                yield pa.record_batch([part.column(0), pa.array([x[0] for x in pairs], pa.binary()), pa.array([x[1] for x in pairs], pa.binary())], names=["id", "ids", "decoded"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                ids, decoded = zip(*both(part.column(1).to_pylist()))
+                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_or_empty(text_col), "utf-8").alias("text")).mapInArrow(run, "id long, ids binary, decoded binary")
 
@@ -296,12 +272,12 @@ def encode_column(docs: DataFrame, text_col: str = "text", vocabulary: str | Non
         import numpy as np
         import pyarrow as pa
 
-        both = tokenizer(path).encode_decode
+        encode = tokenizer(path).encode
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 texts = [(t or "").encode("utf-8") for t in part.column(text_col).to_pylist()]
-                ids = [np.frombuffer(x[0], dtype="<i4") for x in both(texts)]
+                ids = [np.frombuffer(x, dtype="<i4") for x in encode(texts)]
                 values = pa.array(np.concatenate(ids) if ids else np.array([], dtype="<i4"), pa.int32())
                 offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(offsets, values)], names=[*keep, "token_ids"])

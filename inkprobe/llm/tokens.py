@@ -2,19 +2,23 @@
 
 The vocabulary's normaliser and pre-tokenizer never join text across white space, so a text's ids are the ids of its
 white-space-separated words, in order. A worker remembers the ids of words it has met, up to a fixed number, and hands
-only unknown words to the library.
+only unknown words to the library: runs of Latin letters many at a time to its merge model, where the vocabulary marks each
+word's last token, and any other word to the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
-import struct
 from collections.abc import Iterable, Iterator
 
 #: Words a worker remembers: two generations of half as many; a word met again moves to the younger one.
 REMEMBERED = 300_000
 #: First bytes in UTF-8 of the combining marks that compose with ASCII letters.
 COMBINING = (b"\xcc", b"\xcd")
+#: What is split from the letters before it whatever follows.
+MARKS = (b".", b",")
+#: Words that the merge model takes in one text.
+TOGETHER = 500
 
 
 def default_vocabulary() -> str:
@@ -36,21 +40,64 @@ def folded(texts: list[bytes]) -> list[bytes]:
     return [t if b"<|" in t or COMBINING[0] in t or COMBINING[1] in t else t.lower() for t in texts]
 
 
-def recall(memory, most: int = REMEMBERED) -> None:
-    """Age a memory whose younger generation is full."""
+def latin_letters(word: bytes) -> bytes | None:
+    """The word in lower case if it is a run of Latin letters, which normalise and split to themselves; else None."""
+    if word.isalpha():  # of bytes: ASCII letters
+        return word.lower()
+    try:
+        text = word.decode("utf-8").lower()
+    except UnicodeDecodeError:
+        return None
+    return text.encode("utf-8") if text.isalpha() and max(text) < "ɐ" else None
+
+
+def word_table(texts: list[bytes]):
+    """The words of texts, those between ASCII white space: (each distinct word; the place there of every word in
+    order; per text the count of words before it, and at last of all). Arrow splits and numbers them. Texts that begin or end
+    in white space have the empty word there."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    raw = pa.array(texts, pa.binary())
+    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(raw), raw.buffers(), raw.null_count, raw.offset))
+    coded = split.values.dictionary_encode()
+    words = coded.dictionary
+    words = pa.Array.from_buffers(pa.binary(), len(words), words.buffers()).to_pylist()
+    return words, coded.indices, split.offsets.to_numpy().astype(np.int64)
+
+
+def joined(of_words: list[bytes], places, offsets, skip: int = 0) -> Iterator[bytes]:
+    """Per text what stands for its words, one after the other, but for the first ``skip`` bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    long = pa.array(of_words, pa.large_binary()).take(places)
+    ends = np.frombuffer(long.buffers()[1], np.int64, len(long) + 1)[offsets].tolist()
+    data = memoryview(long.buffers()[2] or b"").cast("B")
+    for a, b in zip(ends, ends[1:]):
+        yield bytes(data[a + skip : b])
+
+
+def looked_up(memory, words: list[bytes], most: int = REMEMBERED) -> list:
+    """Age a memory whose younger generation is full, learn the words that neither generation knows, and move to the younger
+    one what only the older knows."""
     if len(memory.known) > most // 2:
         memory.older, memory.known = memory.known, {}
-
-
-def promoted(memory, words: set[bytes]) -> list[bytes]:
-    """Move what the older generation knows to the younger one; the words that neither knows."""
     known, older, new = memory.known, memory.older, []
-    for w in words:
+    found = list(map(known.get, words))
+    missing = [i for i, x in enumerate(found) if x is None]
+    for i in missing:
+        w = words[i]
         if w in older:
             known[w] = older[w]
         else:
             new.append(w)
-    return new
+    if new:
+        memory.learn(new)
+    for i in missing:
+        found[i] = known[words[i]]
+    return found
 
 
 class WordEncoder:
@@ -58,7 +105,9 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import numpy as np
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -66,62 +115,77 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
-        self.marks = self._ids([b".", b","])
-        self.spelled = byte_letters()
-
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        self.marks = dict(zip(MARKS, self._ids(MARKS)))
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.words = None
+        if self.folds and suffix:
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = WhitespaceSplit()
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for s, i in vocabulary.items() if s.endswith(suffix)]] = True
+            self.spelled = {b: s for b, s in enumerate(byte_letters()) if chr(b) != s and b != 0x20}
+
+    def _ids(self, texts: Iterable[bytes]) -> list[bytes]:
         import numpy as np
 
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _word(self, word: bytes) -> bytes | None:
-        """A plain word's ids by the library's merge model alone, which is what the rest comes to for one run of Latin
-        letters; None for any other word."""
-        try:
-            text = word.decode("utf-8").lower()
-        except UnicodeDecodeError:
-            return None
-        if not text.isalpha() or not self.folds or max(text) >= "\u0250":
-            return None
-        found = self.tokenizer.model.tokenize("".join(map(self.spelled.__getitem__, text.encode("utf-8"))))
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
-
-    def learn(self, words: Iterable[bytes]) -> None:
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """The ids of runs of Latin letters in lower case, by the library's merge model."""
+        import numpy as np
+
+        texts = [b" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        texts = [t.decode("ascii") if t.isascii() else t.decode("latin-1").translate(self.spelled) for t in texts]
+        out: list[bytes] = []
+        for k, found in enumerate(self.words.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != min(TOGETHER, len(words) - k * TOGETHER):
+                raise ValueError("a word has no last token")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
         """Have the ids of these words from the library."""
-        known, other = self.known, []
+        known, older, other = self.known, self.older, []
+        if self.words is None:
+            known.update(zip(words, self._ids(words)))
+            return
+        plain: set[bytes] = set()  # runs of ASCII letters, and of any Latin letters
+        latin: set[bytes] = set()
+        made: list[tuple[bytes, bytes, bytes]] = []  # word, the run of letters in it, the ids of the mark after it
         for w in words:
-            ids = self._word(w)
-            if ids is None and w[-1:] in (b".", b",") and len(w) > 1:  # letters and the mark after them are split in any case
-                stem = w[:-1]
-                ids = known.get(stem) or self._word(stem)
-                if ids is not None:
-                    if not stem.decode("utf-8").isalpha():
-                        ids = None
-                    else:
-                        known[stem] = ids
-                        ids += self.marks[w[-1:] == b","]
-            if ids is None:
-                other.append(w)
+            mark = self.marks.get(w[-1:], b"")
+            stem = w[:-1] if mark else w
+            if stem.isalpha() and stem.islower():
+                low, new = stem, plain
+            elif (low := latin_letters(stem)) is not None:
+                new = latin
             else:
-                known[w] = ids
+                other.append(w)
+                continue
+            if low not in known:
+                if low in older:
+                    known[low] = older[low]
+                else:
+                    new.add(low)
+            if low is not w:
+                made.append((w, low, mark))
+        for new in (plain, latin):
+            new = list(new)
+            known.update(zip(new, self._letters(new)))
+        for w, low, mark in made:
+            known[w] = known[low] + mark
         if other:
             known.update(zip(other, self._ids(other)))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Words are bytes between ASCII white space; other white space stays inside a word."""
-        if self.folds:
-            texts = folded(texts)
-        recall(self)
-        get = self.known.get
-        split = [t.split() for t in texts]
-        parts = [list(map(get, words)) for words in split]
-        unknown = {w for words, p in zip(split, parts) if None in p for w, x in zip(words, p) if x is None}
-        if unknown:
-            self.learn(promoted(self, unknown))
-        known = self.known
-        for words, p in zip(split, parts):
-            yield b"".join([known[w] if x is None else x for w, x in zip(words, p)] if None in p else p)
+        words, places, offsets = word_table(folded(texts) if self.folds else texts)
+        return joined(looked_up(self, words), places, offsets)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

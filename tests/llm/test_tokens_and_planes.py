@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkprobe.llm import bitplane
 from inkprobe.llm.tokens import WordEncoder, default_vocabulary
@@ -62,6 +63,22 @@ def test_archive_against_brute_force(spark, tmp_path, library):
     assert got == expected
 
 
+def test_a_hot_id_is_dealt_to_many_ranges(spark, tmp_path, library):
+    """A third of the rows hold one id, another third none."""
+    rows = [(7, f"seven {k}") for k in range(300)] + [(None, f"none {k}") for k in range(300)] + [(k, "other") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = bitplane.id_ranges(docs, "doc_id", 12)
+    assert len(ranges) >= 10 and max(ranges.parts) >= 3
+    bitplane.token_archive(docs, f"file://{tmp_path}/h", ranges=12)
+    dealt = {r.range_no: r.n for r in spark.read.parquet(f"file://{tmp_path}/h").selectExpr("range_no", "size(doc_ids) as m").groupBy("range_no").agg(F.sum("m").alias("n")).collect()}
+    assert max(dealt.values()) <= 250 and sum(dealt.values()) == 900
+    got = sorted((r.start, r.id, bytes(r.ids)) for r in bitplane.read_planes(spark, f"file://{tmp_path}/h").collect())
+    assert [g[1] for g in got] == sorted([r[0] for r in rows if r[0] is not None]) + [None] * 300
+    assert [g[0] for g in got] == np.cumsum([0] + [len(g[2]) // 4 for g in got[:-1]]).tolist()
+    want = [(i, np.array([*library.tokenizer.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for i, t in rows]
+    assert sorted((g[1:] for g in got), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     bitplane.token_archive(docs, f"file://{tmp_path}/e")
