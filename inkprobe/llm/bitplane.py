@@ -167,7 +167,7 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, vocabulary: st
 def write_planes(encoded: DataFrame, path: str, ranges: int, unit: str = "byte", chunk: int = CHUNK, segment: int = SEGMENT) -> None:
     """Write (id, ids, range_no) rows, range by range in ascending order of id, null ids last, as segments below ``path``.
     A segment ends with the document that fills it."""
-    dealt = encoded.repartition(max(1, ranges), "range_no").sortWithinPartitions("range_no", F.col("id").asc_nulls_last(), "ids")
+    dealt = encoded.repartitionById(max(1, ranges), "range_no").sortWithinPartitions("range_no", F.col("id").asc_nulls_last(), "ids")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
