@@ -23,10 +23,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
-    """The words of a text, JVM-side; an empty array where there is none."""
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
+    """The words of a text, JVM-side; an empty array where there is none. Only texts with other white space than single spaces
+    and line ends pay for a regular expression."""
+    others = [c for c in SPACES if c not in " \n"]
+    even = lambda s: F.when(reduce(Column.__or__, [s.contains(c) for c in ["  ", *others]]), F.trim(F.regexp_replace(s, SPACE_RUN, " "))).otherwise(s)
+    split = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
+    return let(let(F.trim(F.replace(text, F.lit("\n"), F.lit(" "))), even), split)
 
 
 def shared_dir(spark: SparkSession) -> str:
