@@ -23,6 +23,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that no name of theirs meets one of ours."""
+    return F.struct(*["`" + c.replace("`", "``") + "`" for c in df.columns])
+
+
 def let(value: Column, use) -> Column:
     """``use(value)``, with ``value`` computed once however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

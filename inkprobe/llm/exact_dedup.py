@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, stored, table, text_or_empty
+from .common import SPACE_RUN, SPACES, stored, table, text_or_empty, whole_row
 
 KEY = ["digest", "bytes", "check"]
 FAN_IN_BITS = 4
@@ -27,12 +27,13 @@ def normalised(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, SPACE_RUN, " ")).otherwise(text)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rid, run, digest, bytes, check) of every row: rid names the row, run its partition."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(id, rid, run, digest, bytes, check) of every row: rid names the row, run its partition; with ``whole``, also row."""
     rid = F.monotonically_increasing_id()
+    row = [whole_row(docs).alias("row")] if whole else []
     return (
-        docs.select(F.col(id_col).alias("id"), normalised(text_or_empty(text_col)).alias("norm"))
-        .select("id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").alias("bytes"), F.xxhash64("norm").alias("check"), rid.alias("rid"))
+        docs.select(*row, F.col(id_col).alias("id"), normalised(text_or_empty(text_col)).alias("norm"))
+        .select(*(["row"] if whole else []), "id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").alias("bytes"), F.xxhash64("norm").alias("check"), rid.alias("rid"))
         .withColumn("run", F.shiftright("rid", 33))
     )
 
@@ -42,6 +43,7 @@ def _merge(runs: DataFrame, bits: int) -> DataFrame:
     return (
         runs.groupBy(F.shiftright("run", bits).alias("run"), *KEY)
         .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        .sortWithinPartitions("run", *KEY)
     )
 
 
@@ -51,9 +53,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text is empty text. Of equal texts the row with the smallest id stays, null ids last; of rows that tie even
     there, exactly one. ``docs`` may have any other columns and may be empty; only the two named are read.
     """
-    rows = stored(digests(docs, id_col, text_col))
+    found, rows = _verdicts(docs, id_col, text_col, fan_in_bits)
+    out = rows.withColumnRenamed("run", "up").join(found, ["up", *KEY])
+    return out.select("id", "digest", "bytes", "check", F.col("keep.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"))
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, fan_in_bits: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(up, digest, bytes, check, keep, group_size): what each run's entries learn from the root; and the rows, stored."""
+    rows = stored(digests(docs, id_col, text_col, whole))
     best = F.struct(F.col("id").isNull().alias("null_id"), F.col("id"), F.col("rid"))
-    runs = rows.groupBy("run", *KEY).agg(F.min(best).alias("best"), F.count("*").alias("n"))
+    runs = rows.groupBy("run", *KEY).agg(F.min(best).alias("best"), F.count("*").alias("n")).sortWithinPartitions("run", *KEY)
     levels = []
     top = rows.agg(F.max("run")).first()[0] or 0
     while top:
@@ -65,17 +74,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for level in reversed(levels):
         child = level.select("run", *KEY, F.shiftright("run", fan_in_bits).alias("up"))
         found = child.join(found, ["up", *KEY]).select(F.col("run").alias("up"), *KEY, "keep", "group_size")
-    out = rows.withColumnRenamed("run", "up").join(found, ["up", *KEY])
-    return out.select("id", "digest", "bytes", "check", F.col("keep.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"))
+    return found, rows
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns and no others."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    named = docs.withColumn("__digest", F.unhex(F.sha2(normalised(text_or_empty(text_col)), 256)))
-    found = named.join(kept, named[id_col].eqNullSafe(kept["__id"]) & (named["__digest"] == kept["__digest"]), "left_semi")
-    # rows that repeat both id and text: one stays; the join has put them together already
-    return found.withColumn("__n", F.expr(f"row_number() over (partition by `{id_col}`, __digest order by `{id_col}`)")).where("__n = 1").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns and no others: of equal texts the row with the smallest id, null
+    ids last, of rows that tie even there exactly one. Null text is empty text; an empty table gives an empty one. Rows are
+    stored whole and learn from the tree whether they stay, so no key but a run's digest brings them together."""
+    found, rows = _verdicts(docs, id_col, text_col, FAN_IN_BITS, whole=True)
+    out = rows.withColumnRenamed("run", "up").join(found, ["up", *KEY])
+    return out.where(F.col("rid") == F.col("keep.rid")).select("row.*")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty, words_of
+from .common import stored, table, text_or_empty, whole_row, words_of
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -69,16 +69,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.withColumn("part", part).select("id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix as rows of ``docs``: each as often as taken, a part counting as one more when it is half the text or more.
 
-    Ids that occur more than once in ``docs`` must have equal texts, as after dedup; then each row stands for itself.
+    Ids that occur more than once in ``docs`` must have equal texts, as after dedup; then each row stands for itself. A null
+    id is one such id. Null and empty texts are never taken; an empty table gives an empty one.
     """
-    m = mix(docs, **options)
+    m = mix(docs, id_col, **options)
     copies = m.where("size > 0").select(F.col("id").alias("__id"), (F.col("whole") + (2 * F.col("part") >= F.col("size")).cast("long")).cast("int").alias("__copies")).where("__copies > 0")
     copies = copies.groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    found = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = docs.select(whole_row(docs).alias("__row"), F.col(id_col).alias("__doc"))
+    found = rows.join(copies, F.col("__doc").eqNullSafe(F.col("__id")))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

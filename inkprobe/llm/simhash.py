@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, shuffle_partitions, stored, table, text_or_empty
+from .common import bounded_batches, connected_components, shuffle_partitions, stored, table, text_or_empty, whole_row
 
 SHINGLE = 4
 RADIUS = 4
@@ -238,11 +238,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select("id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Of each group the row with the smallest id, with all its columns; rows without an id stay as they are."""
-    groups = near_groups(docs, id_col, text_col, **options)
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: bool = False, **options) -> DataFrame:
+    """Of each group the document with the smallest id, with all its columns.
+
+    Groups are those of ``near_groups``; with ``alike``, of ``near_copies.near_groups``: the index's links verified on 5-word
+    shingles, completed to all pairs 4/5 alike. An id names a document: rows that repeat one stay or go together, and stay if
+    any of them is the first of its group. Rows without an id stay as they are. An empty table gives an empty one.
+    """
+    from . import near_copies
+
+    groups = (near_copies.near_groups if alike else near_groups)(docs, id_col, text_col, **options)
     kept = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(whole_row(docs).alias("__row"), F.col(id_col).cast("long").alias("__doc"))
+    return rows.join(kept, F.col("__doc") == F.col("__id"), "left_semi").unionByName(rows.where(F.col("__doc").isNull())).select("__row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

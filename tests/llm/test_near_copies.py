@@ -4,7 +4,7 @@ import corpus_pipeline
 import pyarrow.parquet as pq
 import pytest
 
-from inkprobe.llm import near_copies
+from inkprobe.llm import near_copies, simhash
 
 SPACE = str.maketrans({c: " " for c in "\t\n\x0b\f\r"})
 
@@ -49,8 +49,6 @@ def test_groups_against_all_pairs(spark, monkeypatch, common):
 
 def test_the_stage_drops_what_is_alike_beyond_four_bits(spark):
     """Two texts 4/5 alike whose fingerprints differ in more than 4 bits, and two that are less alike."""
-    from inkprobe.llm import simhash
-
     rng = random.Random(1)
     words = [f"w{k}" for k in range(200)]
     near, far = edited(rng, words, 3), edited(rng, words, 12)
@@ -67,7 +65,7 @@ def test_odd_tables(spark):
     got = sorted((r.id or -1, r.component_id) for r in near_copies.near_groups(docs).collect())
     assert got == [(-1, 9), (2, 2), (4, 2), (7, 7), (9, 9), (9, 9)]
     assert near_copies.near_groups(docs.limit(0)).collect() == []
-    assert sorted(r.doc_id or -1 for r in near_copies.keep_first(docs).collect()) == [-1, 2, 7, 9, 9]
+    assert sorted(r.doc_id or -1 for r in simhash.keep_first(docs, alike=True).collect()) == [-1, 2, 7, 9, 9]
 
 
 def test_documents(spark):

@@ -2,14 +2,15 @@ import importlib.util
 
 import pyarrow.parquet as pq
 import pytest
+from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from inkprobe.llm import bpe, exact_dedup, mixing, simhash  # noqa: E402
+from inkprobe.llm import exact_dedup, mixing, quality  # noqa: E402
 from inkprobe.llm.tokens import default_vocabulary  # noqa: E402
 
 from test_quality import slow_base, slow_scores  # noqa: E402
-from test_simhash import slow_components, slow_fingerprint  # noqa: E402
+from test_near_copies import slow_groups  # noqa: E402
 
 D = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,8 +39,8 @@ def slow_stages():
         if key not in seen:
             seen.add(key)
             second.append(r)
-    groups = slow_components([slow_fingerprint(r[1]) for r in second])
-    third = [r for k, r in enumerate(second) if groups[k] == k]
+    groups = slow_groups([(r[0], r[1]) for r in second])
+    third = [r for r in second if groups[r[0]] == r[0]]
     return first, second, third
 
 
@@ -67,9 +68,9 @@ def test_stages_against_brute_force(spark):
         at = by_source.setdefault(texts[i], [0, r.target])
         at[0] += r.taken
     assert all(abs(taken - target) <= 1 for taken, target in by_source.values())
-    t = bpe.tokenizer(default_vocabulary())
-    for r in kept[4].collect()[:20]:
-        assert r.token_ids == t.word_ids(r.text)
+    library = Tokenizer.from_file(default_vocabulary())
+    for r in kept[4].collect():
+        assert r.token_ids == library.encode(r.text, add_special_tokens=False).ids
 
 
 def test_entry_lists_the_pipeline():
@@ -92,6 +93,44 @@ def test_exact_groups(spark, fan_in_bits):
     assert exact_dedup.exact_groups(df.limit(0)).collect() == []
 
 
+def clashing(spark, rows):
+    """Rows with columns whose names the operators use themselves, and one with a dot."""
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'d' as __digest", "'k' as __id", "'r' as __row", "7 as __n", "8 as `a.b`", "9 as run", "1.5 as score")
+
+
+def test_stages_keep_columns_as_they_are(spark):
+    """Each stage's rows are rows of its input, whatever its columns are called; empty tables stay empty."""
+    from inkprobe.llm import simhash
+
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = clashing(spark, [(1, text, "x"), (2, text, "x"), (2, text, "x"), (None, text, "y"), (4, text + " more", "x"), (5, None, None), (6, "", "y")])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for stage, ids in (
+        (lambda d: quality.keep_good(d, labels), [None, 1, 2, 2, 4]), (exact_dedup.keep_first, [1, 4, 5]), (lambda d: simhash.keep_first(d, alike=True), [None, 1, 5]),
+        (simhash.keep_first, None), (mixing.mixed, None),
+    ):
+        got = stage(docs)
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+        rows = got.collect()
+        assert set(rows) <= set(docs.collect())
+        if ids is not None:
+            assert sorted((r.doc_id for r in rows), key=str) == sorted(ids, key=str)
+        assert stage(docs.limit(0)).collect() == []
+
+
+def test_mixed_by_another_id(spark):
+    docs = spark.createDataFrame([(k, "a b c d", "s") for k in range(8)], "name long, text string, source string")
+    assert sorted(r.name for r in mixing.mixed(docs, id_col="name").collect()) == list(range(8))
+
+
+def test_a_hot_text_meets_itself_by_run(spark):
+    """A third of the rows hold one text; one stays, and each run sends one entry for it."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'the same', concat('t', id)) as text").repartition(12)
+    assert exact_dedup.keep_first(docs).count() == 2001
+    groups = exact_dedup.exact_groups(docs)
+    assert groups.where("group_size = 1000 and keep_id = 0").count() == 1000
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(1, "a b c", "x"), (1, "a b c", "x"), (None, "d e", None), (2, None, "y"), (3, "", "x"), (4, "w " * 30_000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as target", "3 as slot")
