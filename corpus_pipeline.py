@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkprobe.llm import bpe, exact_dedup, mixing, near_copies as copies, quality
+from inkprobe.llm import bpe, exact_dedup, mixing, quality, simhash
 from inkprobe.llm.common import stored, table
 
 
@@ -21,7 +21,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (4/5 of their 5-word shingles alike, or more) the document with the smallest id."""
-    return copies.keep_first(docs)
+    return simhash.keep_first(docs, alike=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
