@@ -1,10 +1,11 @@
 """Chat formatting with schema fingerprints. DataFrame operations only.
 
 Records of any known layout become canonical turns: an array of (role, text). A layout is recognised by the hash of its
-nested field paths: ``messages[].role`` and so on, sorted, array elements marked, scalar types left out. A fingerprint
-selects a mapping, which is data: the paths of a turn list with the names of its role and text fields, or the paths of
-single fields with the role that each speaks in. Tables are recognised by their columns when the query is planned; JSON
-records row by row, by the schema of the parsed record.
+nested field paths: ``messages[].role`` and so on, sorted, array elements marked, scalar types left out. Of a record those
+paths count that some mapping knows, so further fields don't hide its layout; an empty list has the fields of its layouts.
+A fingerprint selects a mapping, which is data: the paths of a turn list with the names of its role and text fields, the
+paths of single fields with the role that each speaks in, or the fields of a row that is one turn. Every record takes this way,
+JSON and rows of tables alike.
 
 Formatting. A turn is written ``### role: text</turn>`` and a line end, where in role and text a backslash, ``<`` and ``#``
 are written ``\\b``, ``\\l`` and ``\\h``, and in a role ``:`` is ``\\c``. So no text can hold a mark, and reading a formatted
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import table
 
@@ -33,10 +33,10 @@ LAYOUTS = (
     {"name": "instruction_input_output", "fields": (("instruction", "user"), ("input", "user"), ("output", "assistant"))},
     {"name": "data_prompt", "fields": (("data.prompt", "user"), ("data.response", "assistant"))},
 )
+#: The layout of a table of one row per turn.
+TURN_ROWS = {"name": "turn_rows", "row": ("turn", "role", "text")}
 #: Names that layouts give to the roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: A table of one row per turn.
-TURN_ROWS = ("role", "text", "turn")
 
 
 def layout_paths(layout: dict) -> list[str]:
@@ -44,46 +44,32 @@ def layout_paths(layout: dict) -> list[str]:
     if "list" in layout:
         at, role, text = layout["list"]
         return sorted([f"{at}[].{role}", f"{at}[].{text}"])
+    if "row" in layout:
+        return sorted(layout["row"])
     return sorted(p for p, _ in layout["fields"])
 
 
-def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
-    """The nested field paths of a column's type, sorted."""
-    if isinstance(kind, T.StructType):
-        return sorted(p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name))
-    if isinstance(kind, T.ArrayType):
-        return schema_paths(kind.elementType, f"{at}[]")
-    return [at]
+def fingerprint_of(paths: Column) -> Column:
+    return F.xxhash64(paths)
 
 
-def path_shape(paths: list[str]) -> str:
-    """The paths as one text: nested objects with sorted keys, as a parsed record's schema prints without its types."""
-    tree: dict = {}
-    for p in paths:
-        node = tree
-        for part in p.split("."):
-            node = node.setdefault(part, {})
+def layout_fingerprint(layout: dict) -> Column:
+    return fingerprint_of(F.lit("\n".join(layout_paths(layout))))
 
-    def show(node: dict) -> str:
-        if not node:
-            return "?"
-        shown = []
-        for k in sorted(node, key=lambda k: k.removesuffix("[]")):
-            inner = show(node[k])
-            shown.append(f"{k.removesuffix('[]')}: " + (f"ARRAY<{inner}>" if k.endswith("[]") else inner))
-        return f"OBJECT<{', '.join(shown)}>"
 
-    return show(tree)
+def _has(record: Column, path: str) -> Column:
+    """Whether a parsed record has a field, null or not."""
+    at, _, field = path.partition("[].")
+    if not field:
+        return F.try_variant_get(record, f"$.{at}", "variant").isNotNull()
+    rows = F.try_variant_get(record, f"$.{at}", "array<variant>")
+    return rows.isNotNull() & ((F.size(rows) == 0) | F.exists(rows, lambda r: F.try_variant_get(r, f"$.{field}", "variant").isNotNull()))
 
 
-def fingerprint_of(shape: Column) -> Column:
-    return F.xxhash64(shape)
-
-
-def record_fingerprint(record: Column) -> Column:
-    """The fingerprint of a parsed record (variant); extra fields make another layout."""
-    shape = F.regexp_replace(F.schema_of_variant(record), r"(?<=[<: ])(?:DECIMAL\([0-9,]+\)|[A-Z_]+)(?=[,>]|$)", "?")
-    return fingerprint_of(shape)
+def record_fingerprint(record: Column, layouts=LAYOUTS) -> Column:
+    """The fingerprint of a parsed record (variant), from those of its paths that the layouts know."""
+    known = sorted({p for layout in layouts for p in layout_paths(layout)})
+    return F.when(record.isNotNull(), fingerprint_of(F.concat_ws("\n", *[F.when(_has(record, p), p) for p in known])))
 
 
 def _canonical_role(role: Column) -> Column:
@@ -106,32 +92,44 @@ def record_turns(record: Column, layout: dict) -> Column:
     return F.filter(turns, lambda t: t["text"] != "") if any(p == "input" for p, _ in layout["fields"]) else turns
 
 
-def json_turns(df: DataFrame, json_col: str, layouts=LAYOUTS) -> DataFrame:
-    """``df`` with ``layout`` (its name; null where no layout fits or the text is no record) and ``turns``."""
-    parsed = df.withColumn("__record", F.try_parse_json(json_col)).withColumn("__print", record_fingerprint(F.col("__record")))
+def record_turns_by_layout(rows: DataFrame, layouts=LAYOUTS) -> DataFrame:
+    """``rows`` (__record, a variant) with ``layout`` (its name; null where none fits) and ``turns``."""
+    rows = rows.withColumn("__print", record_fingerprint(F.col("__record"), layouts))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in layouts:
-        ours = F.col("__print") == fingerprint_of(F.lit(path_shape(layout_paths(layout))))
+        ours = F.col("__print") == layout_fingerprint(layout)
         name = F.when(ours, F.lit(layout["name"])).otherwise(name)
         turns = F.when(ours, record_turns(F.col("__record"), layout).cast(TURNS)).otherwise(turns)
-    return parsed.withColumn("layout", name).withColumn("turns", turns).drop("__record", "__print")
+    return rows.withColumn("layout", name).withColumn("turns", turns).drop("__record", "__print")
+
+
+def json_turns(df: DataFrame, json_col: str, layouts=LAYOUTS) -> DataFrame:
+    """``df`` with ``layout`` (its name; null where no layout fits or the text is no record) and ``turns``. Null and missing
+    texts of a record are empty; rows that repeat stay as they are; an empty table gives an empty one."""
+    return record_turns_by_layout(df.withColumn("__record", F.try_parse_json(json_col)), layouts)
 
 
 def table_turns(df: DataFrame, id_col: str, layouts=LAYOUTS) -> DataFrame:
-    """(id, turns) of a table whose columns make a known layout besides its id; unknown columns next to one row per turn
-    are ignored and its roles are canonical as they stand. Rows per turn are gathered by id, in order of turn, null turns first, ties in order of role and text.
-    A conversation is one record, so its turns meet in one row."""
+    """(id, turns) of a table whose columns make a known layout besides its id; unknown columns are ignored.
+
+    Rows that each are one turn are gathered by id, in order of turn, null turns first, ties in order of role and text; their
+    roles are canonical as they stand. A conversation is one record, so its turns meet in one row. Of other layouts each row
+    is a conversation."""
     others = [c for c in df.columns if c != id_col]
-    if set(TURN_ROWS) <= set(others):
-        row = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        gathered = df.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    if set(TURN_ROWS["row"]) <= set(others):
+        record = F.to_variant_object(F.struct(*TURN_ROWS["row"]))
+        rows = df.select(F.col(id_col).alias("id"), record.alias("__record")).withColumn("__print", record_fingerprint(F.col("__record"), (*layouts, TURN_ROWS)))
+        turn, role, text = (F.try_variant_get("__record", f"$.{c}", kind) for c, kind in zip(TURN_ROWS["row"], ("long", "string", "string")))
+        row = F.struct(turn.alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+        ours = F.col("__print") == layout_fingerprint(TURN_ROWS)
+        gathered = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.when(ours, row))).alias("rows"))
         return gathered.select("id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
-    shape = path_shape(schema_paths(df.select(*others).schema))
-    for layout in layouts:
-        if path_shape(layout_paths(layout)) == shape:
-            record = F.to_variant_object(F.struct(*others))
-            return df.select(F.col(id_col).alias("id"), record_turns(record, layout).cast(TURNS).alias("turns"))
-    raise ValueError(f"no layout for the paths {shape}")
+    known = {p.split(".")[0].removesuffix("[]") for layout in layouts for p in layout_paths(layout)}
+    fields = [c for c in others if c in known]
+    if not fields:
+        raise ValueError(f"no layout has any of the columns {others}")
+    rows = df.select(F.col(id_col).alias("id"), F.to_variant_object(F.struct(*fields)).alias("__record"))
+    return record_turns_by_layout(rows, layouts).select("id", "turns")
 
 
 def escaped(text: Column, role: bool = False) -> Column:

@@ -10,8 +10,9 @@ Candidates are spans of a text that look like secrets, in four kinds:
 The first three are the base: they are always reported. ``issued`` candidates are what the method adds, by ownership: each
 candidate's value is hashed, and over the corpus its distinct repositories and distinct owners are counted, first per
 (value, owner) and then per value, so that a value which a third of all documents hold is reduced before it moves. A
-value held by more than ``MAX_OWNERS`` owners or ``MAX_REPOSITORIES`` repositories is a widely copied example; any other is
-specific to its owner and looks live. Added spans are only the live-looking ones; for base spans the verdict is told beside.
+value held by more than ``MAX_OWNERS`` owners, or by more than one and over ``MAX_REPOSITORIES`` repositories, is a widely
+copied example; any other is specific to its owner and looks live, however often its owner repeats it. Added spans are only
+the live-looking ones; for base spans the verdict is told beside, as counts of copied and owner-specific candidates.
 
 Positions come from the regular expression engine without a user function: splitting a text at a pattern gives the gaps
 between its matches, and the running sum of gaps and matches is each match's place. Texts without a match pay one scan.
@@ -87,12 +88,13 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: id, found (all candidates), spans (reported: base and live-looking added ones), n_copied.
 
     ``found`` and ``spans`` are arrays of (start, end, kind, value): kind by its place in KINDS, value a SHA-256. ``n_copied``
-    counts candidates whose value is widely copied. Null texts are empty; rows that repeat count as one repository.
+    counts candidates whose value is widely copied. Null texts are empty and a null owner is an owner; rows that repeat an id count
+    as one repository; an empty table gives an empty one. Of ``docs`` only the named columns are read.
     """
     rows = scan(docs, id_col, text_col, repository_col, owner_col)
     single = rows.where(F.size("found") > 0).select("rid", "repository", "owner", F.explode("found").alias("s"))
     single = single.select("rid", "repository", "owner", "s", F.col("s.value").alias("value"))
-    frequency = ownership(single).select("value", ((F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)).alias("copied"))
+    frequency = ownership(single).select("value", ((F.col("owners") > max_owners) | ((F.col("owners") > 1) & (F.col("repositories") > max_repositories))).alias("copied"))
     judged = single.join(frequency, "value")
     reported = (F.col("s.kind") < len(BASE)) | ~F.col("copied")
     # a row's own candidates, no more than its text holds
@@ -110,7 +112,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"] < len(BASE))
     count = [F.size(F.filter("found", is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select(F.col("id").alias("doc_id"), *count, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *count, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), "n_copied", (F.size("found") - F.col("n_copied")).cast("long").alias("n_specific"))
 
 
 def _found_sql(kind: str) -> str:
@@ -130,13 +132,15 @@ spans AS (
 ),
 kept AS (SELECT * FROM spans WHERE no <> 0 OR length(value) >= {MIN_VALUE}),
 owned AS (
-  SELECT value, count(DISTINCT doc_id) > {MAX_REPOSITORIES} OR count(DISTINCT source) > {MAX_OWNERS} AS copied FROM kept GROUP BY value
+  SELECT value, owners > {MAX_OWNERS} OR (owners > 1 AND repositories > {MAX_REPOSITORIES}) AS copied
+  FROM (SELECT value, count(DISTINCT doc_id) AS repositories, count(DISTINCT source) + CAST(count(*) > count(source) AS INT) AS owners FROM kept GROUP BY value)
 ),
 shown AS (
   SELECT k.*, [{", ".join(f"'{k}'" for k in KINDS)}][no + 1] || ':' || start || ':' || until AS s, no < {len(BASE)} AS base, copied FROM kept k JOIN owned o ON k.value = o.value
 )
 SELECT t.doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
        sha256(coalesce(string_agg(s, ',' ORDER BY start, no) FILTER (base), '')) AS base_sha256,
-       coalesce(string_agg(s, ',' ORDER BY start, no) FILTER (base OR NOT copied), '') AS spans
+       coalesce(string_agg(s, ',' ORDER BY start, no) FILTER (base OR NOT copied), '') AS spans,
+       count(*) FILTER (copied) AS n_copied, count(*) FILTER (NOT copied) AS n_specific
 FROM t LEFT JOIN shown ON t.doc_id = shown.doc_id GROUP BY t.doc_id
 """

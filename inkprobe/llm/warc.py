@@ -3,8 +3,8 @@
 An archive is two tables in shared storage:
 
 - ``payloads``: (digest, payload), the payload bytes of each SHA-256 once;
-- ``headers``: (page_id, record_type, digest, refers_to, header): each record's header block exactly as it stands in the
-  record, from the version line to the blank line.
+- ``headers``: (page_id, digest, header): each record's header block exactly as it stands in the record, from the version
+  line to the blank line.
 
 A record is its header, its block and two line ends. A response's block is its payload; a revisit's block is empty and
 its header names the record that holds the payload. Joining headers with payloads by digest gives back every record's
@@ -29,10 +29,8 @@ def _field(name: str, value) -> F.Column:
 
 
 def record_uri(page_id) -> F.Column:
-    """Made from the page's id, so that reruns agree."""
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null"))))
-    part = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *part), F.lit(">"))
+    """Names the page by its id, so that reruns agree and a revisit's header tells which page it refers to."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
 def index_pages(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
@@ -66,7 +64,7 @@ def with_headers(index: DataFrame) -> DataFrame:
     revisit = F.concat(*common("revisit"), *about, _field("WARC-Profile", F.lit(PROFILE)), _field("WARC-Refers-To", record_uri(F.col("keeper_id"))), _field("Content-Length", F.lit("0")), F.lit(CRLF))
     kept = F.col("is_response")
     return index.select(
-        "page_id", F.when(kept, "response").otherwise("revisit").alias("record_type"), "digest", F.when(~kept, F.col("keeper_id")).alias("refers_to"), F.when(kept, response).otherwise(revisit).alias("header")
+        "page_id", "digest", F.when(kept, response).otherwise(revisit).alias("header")
     )
 
 
@@ -92,27 +90,44 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return headers.join(payloads.withColumn("payload", ok), "digest")
 
 
+def field(header, name: str):
+    """The value of a header's field; null where it has none."""
+    return F.nullif(F.regexp_extract(header, f"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
+
+
+def rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, record, payload): the exact bytes of every record, and its full payload."""
+    block = F.when(field(F.col("header"), "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return read_archive(spark, path).select("page_id", F.concat(F.encode("header", "utf-8"), block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record): the exact bytes of every record."""
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return read_archive(spark, path).select("page_id", F.concat(F.encode("header", "utf-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    return rebuilt(spark, path).select("page_id", "record")
 
 
 def described(spark: SparkSession, path: str) -> DataFrame:
-    """The headers, each with the length and SHA-1 of its full payload as it is stored. Every payload is read and verified where
-    it lies; only what describes it meets the headers."""
-    payloads = spark.read.parquet(f"{path}/payloads")
-    ok = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.sha1("payload")).otherwise(F.raise_error(F.lit("a payload does not match its digest")).cast("string"))
-    facts = payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), ok.alias("payload_digest"))
-    return spark.read.parquet(f"{path}/headers").join(facts, "digest")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) as the rebuilt records say. A record whose block is not as
+    long as its header says, or whose payload has another digest, is an error."""
+    # bytes as characters: a header ends at the first blank line
+    head = F.concat(F.substring_index(F.decode("record", "ISO-8859-1"), CRLF * 2, 1), F.lit(CRLF))
+    rows = rebuilt(spark, path).select("page_id", "payload", F.octet_length("record").alias("n"), head.alias("head"))
+    stated = F.col("n") - F.length("head") - 6
+    sha1 = F.sha1("payload")
+    agrees = (field(F.col("head"), "Content-Length").cast("long") == stated) & (field(F.col("head"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), sha1))
+    digest = F.when(agrees, sha1).otherwise(F.raise_error(F.lit("a record does not agree with its header")).cast("string"))
+    refers = F.regexp_extract("head", r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n", 1)
+    return rows.select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), field(F.col("head"), "WARC-Type").alias("record_type"),
+        F.nullif(refers, F.lit("")).cast("long").alias("refers_to"),
+    )
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     delete_at_exit(spark, path)
     write_archive(table(spark, sf_dir, "pages"), path)
-    kind = F.regexp_extract("header", "WARC-Type: ([a-z]+)\r\n", 1)
-    return described(spark, path).select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
+    return described(spark, path)
 
 
 ORACLE_SQL = r"""

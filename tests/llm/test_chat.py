@@ -20,6 +20,9 @@ RECORDS = [
     ({"instruction": "i", "input": "n", "output": "o"}, "instruction_input_output", [("user", "i"), ("user", "n"), ("assistant", "o")]),
     ({"data": {"prompt": "p", "response": "r"}}, "data_prompt", [("user", "p"), ("assistant", "r")]),
     ({"something": "else"}, None, None),
+    ({"id": 7, "system": "s", "source": {"a": 1}, "prompt": "p", "response": "r"}, "prompt_response", [("user", "p"), ("assistant", "r")]),
+    ({"messages": []}, "messages", []),
+    ({"messages": 5}, None, None),
 ]
 
 
@@ -68,6 +71,14 @@ def test_rows_by_turn(spark):
     assert chat.table_turns(df.limit(0), "conv_id").collect() == []
 
 
+def test_rows_take_the_way_of_fingerprints(spark, monkeypatch):
+    """Without a mapping for their fingerprint, rows make no turns."""
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    assert [tuple(t) for t in chat.table_turns(df, "conv_id").first().turns] == [("user", "x")]
+    monkeypatch.setattr(chat, "layout_fingerprint", lambda layout: F.lit(1).cast("long"))
+    assert chat.table_turns(df, "conv_id").first().turns == []
+
+
 def test_query_has_the_planted_conversation(spark):
     said = "\\### Assistant: </turn> ok"
     row = chat.op4_chat(spark, "/root/testdata/sf0.001").where("conv_id = -7").first()

@@ -51,6 +51,15 @@ def test_ownership_separates_examples_from_live_keys(spark):
     assert secrets.secret_spans(df.limit(0)).collect() == []
 
 
+def test_an_owner_may_repeat_its_key(spark, tmp_path):
+    """A key in many documents of one owner is that owner's; in as many of two owners it is copied."""
+    other = "ghp_" + "Z9y8" * 9
+    rows = [(i, f"mine {KEY}", "s1") for i in range(30)] + [(100 + i, f"ours {other}", f"s{i % 2}") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id < 100, r.spans, r.n_copied, r.n_specific) for r in secrets.op9_secrets(spark, str(tmp_path)).collect()}
+    assert got == {(True, "issued:5:45", 0, 1), (False, "", 1, 0)}
+
+
 def test_query(spark):
     t = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()
     got = {r.doc_id: r for r in secrets.op9_secrets(spark, "/root/testdata/sf0.001").collect()}

@@ -1,5 +1,8 @@
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from inkprobe.llm import warc
 
 BIG = "<p>é</p>" * 300
@@ -42,6 +45,20 @@ def test_records_come_back_whole(spark, tmp_path):
     assert full == {(i, (h or "").encode()) for i, _, h in ROWS}
 
 
+def test_columns_come_from_the_rebuilt_records(spark, tmp_path):
+    """What the headers say is what is returned, and a header that disagrees with its payload is noticed."""
+    path = f"file://{tmp_path}/w"
+    warc.write_archive(spark.createDataFrame(ROWS, "page_id long, url string, html string"), path)
+    got = warc.described(spark, path).collect()
+    assert sorted(r.refers_to for r in got if r.record_type == "revisit" and r.payload_bytes == len(BIG.encode())) == [7] * 4
+    assert {(r.page_id, r.payload_bytes, r.payload_digest) for r in got} == {(i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in ROWS}
+    bad = f"file://{tmp_path}/bad"
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{bad}/payloads")
+    spark.read.parquet(f"{path}/headers").withColumn("header", F.regexp_replace("header", "Content-Length: 5\r", "Content-Length: 6\r")).write.parquet(f"{bad}/headers")
+    with pytest.raises(Exception, match="does not agree"):
+        warc.described(spark, bad).collect()
+
+
 def test_empty_table(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.records(spark, f"file://{tmp_path}/e").collect() == []
