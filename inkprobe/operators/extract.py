@@ -56,13 +56,16 @@ def safe_name(title: Column) -> Column:
 
 
 def column_letters(index: Column) -> Column:
-    """The letters of a spreadsheet column, from 0: A, Z, AA. Up to three letters."""
-    i = index.cast("int")
-    letter = lambda n: F.char((n % 26 + 65).cast("int"))
-    one = letter(i)
-    two = F.concat(letter(F.floor(i / 26).cast("int") - 1), one)
-    three = F.concat(letter(F.floor((i - 702) / 676).cast("int")), letter(F.floor((i - 702) / 26).cast("int") % 26), one)
-    return F.when(i < 26, one).when(i < 702, two).otherwise(three)
+    """The letters of a spreadsheet column, from 0: A, Z, AA. Null for null and below 0."""
+    start = F.struct(index.cast("bigint").alias("n"), F.lit("").alias("s"))
+
+    # digits of base 26 without a zero, from the last one; 14 of them hold any bigint
+    def step(acc, _):
+        n = acc["n"]
+        left = F.floor(n.cast("decimal(20,0)") / 26).cast("bigint") - 1
+        return F.when(n < 0, acc).otherwise(F.struct(left.alias("n"), F.concat(F.char(n % 26 + 65), acc["s"]).alias("s")))
+
+    return F.nullif(F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step)["s"], F.lit(""))
 
 
 def tolerant_json(text: Column, schema: str) -> Column:

@@ -124,15 +124,14 @@ def identical_values_precision(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
-    return li.select(
+    return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") % 40).alias("sheet"), F.col("l_orderkey").alias("row"),
         F.explode(F.array(F.struct(F.lit(1).alias("col"), ((F.col("l_partkey") * 7919 + F.col("l_linenumber")) % 100003).cast("double").alias("value")), F.struct(F.lit(2).alias("col"), ((F.col("l_suppkey") * 104729 + F.col("l_partkey")) % 100003).cast("double").alias("value")))).alias("c"),
     ).select("sheet", "row", "c.col", "c.value")
 
 
 CELLS = """cells AS (SELECT l_orderkey % 40 AS sheet, l_orderkey AS row, c AS col, CAST(CASE c WHEN 1 THEN (l_partkey * 7919 + l_linenumber) % 100003 ELSE (l_suppkey * 104729 + l_partkey) % 100003 END AS DOUBLE) AS value
-  FROM lineitem, (SELECT unnest([1, 2]) AS c) WHERE l_linenumber <= 3)"""
+  FROM lineitem, (SELECT unnest([1, 2]) AS c))"""
 STEPS = """d_{k} AS (SELECT DISTINCT sheet, {k} AS key, value AS v FROM cells), s_{k} AS (SELECT sheet, key, v, lag(v) OVER w AS p FROM d_{k} WINDOW w AS (PARTITION BY sheet, key ORDER BY v)),
 r_{k} AS (SELECT sheet, key, v - p AS d, CASE WHEN coalesce(max(CASE WHEN p = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY sheet, key ORDER BY v ROWS UNBOUNDED PRECEDING), 0) = 0 THEN v / p END AS r FROM s_{k}),
 seq_{k} AS (SELECT sheet, key FROM r_{k} GROUP BY sheet, key HAVING count(*) >= 3 AND (
@@ -472,21 +471,24 @@ def long_text_cut(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(extract.head_and_tail(F.col("text"))).alias("cut_md5"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr(CAST(65 + p_partkey AS INTEGER)) WHEN p_partkey < 702 THEN chr(CAST(64 + p_partkey // 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) ELSE chr(CAST(65 + (p_partkey - 702) // 676 AS INTEGER)) || chr(CAST(65 + (p_partkey - 702) // 26 % 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) END AS letters FROM part WHERE p_partkey < 18278")
+@query(
+    """WITH k AS (SELECT p_partkey, CASE WHEN p_partkey < 26 THEN 1 WHEN p_partkey < 702 THEN 2 WHEN p_partkey < 18278 THEN 3 WHEN p_partkey < 475254 THEN 4 WHEN p_partkey < 12356630 THEN 5 ELSE 6 END AS k FROM part)
+    SELECT p_partkey, array_to_string(list_transform(range(k), lambda j: chr(CAST(65 + (p_partkey - [0, 26, 702, 18278, 475254, 12356630][k]) // CAST(power(26, k - 1 - j) AS BIGINT) % 26 AS INTEGER))), '') AS letters FROM k"""
+)
 def spreadsheet_letters(spark, sf_dir):
     """The letters of a spreadsheet's columns."""
-    return table(spark, sf_dir, "part").where("p_partkey < 18278").select("p_partkey", extract.column_letters(F.col("p_partkey")).alias("letters"))
+    return table(spark, sf_dir, "part").select("p_partkey", extract.column_letters(F.col("p_partkey")).alias("letters"))
 
 
 # --- images --------------------------------------------------------------------------------------------------------
 
 
 def _blocks(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 20).alias("image"), (F.col("l_partkey") % 40 * 16).cast("int").alias("x"), (F.col("l_suppkey") % 30 * 16).cast("int").alias("y"), (F.col("l_partkey") % 97 * 31 + F.col("l_orderkey") % 7).alias("hash")).distinct()
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 20 * 10 + F.col("l_linenumber")).alias("image"), (F.col("l_partkey") % 40 * 16).cast("int").alias("x"), (F.col("l_suppkey") % 30 * 16).cast("int").alias("y"), (F.col("l_partkey") % 97 * 31 + F.col("l_orderkey") % 7).alias("hash")).distinct()
 
 
 @query(
-    """WITH b AS (SELECT DISTINCT l_orderkey % 20 AS image, CAST(l_partkey % 40 * 16 AS INTEGER) AS x, CAST(l_suppkey % 30 * 16 AS INTEGER) AS y, l_partkey % 97 * 31 + l_orderkey % 7 AS hash FROM lineitem WHERE l_linenumber = 1),
+    """WITH b AS (SELECT DISTINCT l_orderkey % 20 * 10 + l_linenumber AS image, CAST(l_partkey % 40 * 16 AS INTEGER) AS x, CAST(l_suppkey % 30 * 16 AS INTEGER) AS y, l_partkey % 97 * 31 + l_orderkey % 7 AS hash FROM lineitem),
     k AS (SELECT *, row_number() OVER (PARTITION BY image, hash ORDER BY y, x) AS rn FROM b QUALIFY rn <= 100),
     p AS (SELECT a.image, a.x AS x1, a.y AS y1, c.x AS x2, c.y AS y2 FROM k a JOIN k c ON a.image = c.image AND a.hash = c.hash AND a.rn < c.rn WHERE abs(a.x - c.x) >= 16 OR abs(a.y - c.y) >= 16),
     g AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY image, x1 // 32, y1 // 32, x2 // 32, y2 // 32 ORDER BY y1, x1, y2, x2) = 1)
@@ -501,7 +503,7 @@ def clone_hash_pairs(spark, sf_dir):
 def figure_rect_merge(spark, sf_dir):
     """Rectangles of a page merged until none touch."""
     x, y = F.col("l_partkey") % 500, F.col("l_suppkey") * 7 % 800
-    rects = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select((F.col("l_orderkey") % 1000).alias("page"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + 60).cast("double").alias("x1"), (y + 60).cast("double").alias("y1"))
+    rects = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000 * 10 + F.col("l_linenumber")).alias("page"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + 60).cast("double").alias("x1"), (y + 60).cast("double").alias("y1"))
     return joins.merged_rectangles(rects)
 
 

@@ -81,8 +81,8 @@ def human_review(results: DataFrame, extra_weights: dict[str, float] | None = No
 def leaderboard(counts: DataFrame, most: int | None = None) -> DataFrame:
     """Papers by their number of red, then orange, then yellow results; failures last; the paper's id breaks ties.
 
-    With ``most`` it is a top-k report, taken without a global sort. Without, ranks come from a range-partitioned sort and
-    the counts of its partitions.
+    With ``most`` it is a top-k report, taken without a global sort. Without, the papers of equal counts are ranked among
+    themselves and then behind all groups before theirs; the largest group of equal counts is one task's.
     """
     order = [F.col("failed"), F.desc("n_red"), F.desc("n_orange"), F.desc("n_yellow"), F.col("paper_id")]
     rows = counts.withColumn("failed", F.coalesce(F.col("n_checks"), F.lit(0)) == 0)

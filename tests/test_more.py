@@ -68,3 +68,31 @@ def test_batch(spark, tmp_path):
     assert risks["a"].risk_score == 100.0 and risks["a"].veto
     paper = risks["a"].paper_id
     assert "Possible means" in cli.show(spark, out, paper)
+
+
+def test_column_letters_of_any_number(spark):
+    def slow(i):
+        out = ""
+        while i >= 0:
+            out, i = chr(65 + i % 26) + out, i // 26 - 1
+        return out
+
+    numbers = [0, 25, 26, 701, 702, 18277, 18278, 475253, 475254, 12356629, 12356630, 10**12, 2**53 + 1, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in [*numbers, -1, None]], "n long")
+    from inkprobe.operators import extract
+
+    got = {r.n: r.s for r in df.select("n", extract.column_letters(df["n"]).alias("s")).collect()}
+    assert got == {n: slow(n) for n in numbers} | {-1: None, None: None}
+
+
+def test_a_broken_store_is_no_empty_store(spark, tmp_path):
+    import pytest
+
+    from inkprobe.streaming import incremental
+
+    spark.createDataFrame([("a", 1)], "source_id string, v int").write.parquet(f"{tmp_path}/in")
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "part-0.parquet").write_bytes(b"not a table")
+    stream = incremental.read_files(spark, f"{tmp_path}/in", "source_id string, v int")
+    with pytest.raises(Exception):
+        incremental.insert_if_absent(stream, f"{tmp_path}/store", f"{tmp_path}/state").awaitTermination()
