@@ -11,8 +11,8 @@ shingles that are common in a sample of the texts last, so that few texts meet u
 sample decides how many candidates there are and never which pairs are found. Sizes and places in the order leave out pairs
 under a shingle that can't reach the rule there.
 
-Links. First the index's links and, under each shingle, each text and the ``NEIGHBOURS`` before it, in an order
-that differs by shingle, are compared, which connects large groups by few comparisons. Then all remaining pairs under a shingle whose texts are not yet in one
+Links. First the index's links and, under its first ``FIRST_KEYS`` shingles, each text and the ``NEIGHBOURS`` before it,
+in an order that differs by shingle, are compared, which connects large groups by few comparisons. Then all remaining pairs under a shingle whose texts are not yet in one
 component are compared. A sketch bounds what two sets share: bit k of it is the parity of the number of shingles whose hash
 is k modulo ``BITS``, so two sets differ in no fewer shingles than their sketches in bits. Pairs that the bound leaves are
 compared by the shared shingles of their whole sets.
@@ -37,8 +37,8 @@ BITS = 1024
 LONGS = BITS // 64
 #: Differing bits of fingerprints up to which the index proposes a link.
 RADIUS = 4
-#: Neighbours under each of its shingles that a text is compared with first.
-NEIGHBOURS = 3
+#: What a text is compared with first: under so many of its shingles, so many neighbours.
+FIRST_KEYS, NEIGHBOURS = 6, 2
 #: Bits of a shingle's hash that a row under it carries; shingles that agree in them only add candidates.
 KEY_BITS = 40
 
@@ -209,9 +209,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one = {c: F.col(c) for c in ("node", "size", "pos")}
     met = keyed.repartition("h").withColumns({f"back{k}": F.lag(F.struct("node", "size", "pos"), k).over(order) for k in range(1, NEIGHBOURS + 1)} | {"next": F.lead("node").over(order)})
     met = met.where(F.col("back1").isNotNull() | F.col("next").isNotNull())
-    back = lambda k: F.when(_may_reach(one, {c: F.col(f"back{k}.{c}") for c in one}), F.col(f"back{k}.node"))
+    back = lambda k: F.when((F.col("pos") < FIRST_KEYS) & _may_reach(one, {c: F.col(f"back{k}.{c}") for c in one}), F.col(f"back{k}.node"))
     met = _kept(met.select("h", *one, F.array_compact(F.array(*[back(k) for k in range(1, NEIGHBOURS + 1)])).alias("back")))
-    pairs = [met.select(F.col("node").alias("a"), F.explode("back").alias("b"))]
+    pairs = [met.where(F.col("pos") < FIRST_KEYS).select(F.col("node").alias("a"), F.explode("back").alias("b"))]
     pairs = _bounded(union_all([_by_fingerprint(own), *pairs]), own)
     roots = connected_components(links(docs, rows, pairs, id_col, text_col))
 
