@@ -9,28 +9,39 @@ from inkprobe.llm import bpe, exact_dedup, mixing, quality, simhash
 from inkprobe.llm.common import stored, table
 
 
+def tidy(spark: SparkSession) -> None:
+    """From now on what a query has shuffled is deleted once its rows are written; texts would else lie on disk until the
+    session ends, as every stage moves them."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the likelihood ratio reject, with the columns of documents."""
+    tidy(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id."""
+    tidy(spark)
     return exact_dedup.keep_first(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (4/5 of their 5-word shingles alike, or more) the document with the smallest id."""
+    tidy(spark)
     return simhash.keep_first(docs, alike=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; ids repeat where a document is taken more than once."""
+    tidy(spark)
     return mixing.mixed(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents and token_ids, array of int."""
+    tidy(spark)
     return bpe.encode_column(docs)
 
 
