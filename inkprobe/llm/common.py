@@ -59,12 +59,22 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+#: Folders of the tables that stored() has written, in order.
+MADE: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written once to shared storage and read back: it cuts lineage, survives lost executors and
     is computed once however often it is used."""
     spark = df.sparkSession
     path = shared_dir(spark)
     delete_at_exit(spark, path)
+    MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
