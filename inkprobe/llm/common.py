@@ -89,16 +89,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, root), root the smallest node reachable; nodes without a link are not listed.
 
     Alternating large-star and small-star rounds, each a join and an aggregate over the links, stored in shared
     storage; nothing but the number of changed links comes to the driver. A hub's rows meet one row of its
-    minimum in a join whose large side Spark can split.
+    minimum in a join whose large side Spark can split. The rounds end: each that changes a link gives some node a smaller
+    neighbour, and they are O(log^2 n) for n nodes.
     """
     a, b = F.col("a"), F.col("b")
     edges = stored(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("a", "b").unionByName(edges.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(b > a).join(low, "a").select(b.alias("a"), F.col("m").alias("b"))
@@ -114,7 +115,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         edges = after
         if n["n"] == n["d"] and not roots_linked:
             return edges.select(a.alias("node"), b.alias("root"))
-    raise RuntimeError("connected_components did not settle")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
