@@ -84,3 +84,29 @@ def test_odd_rows(spark):
     assert all(r.kept is False for r in got if r.base_failed)
     assert quality.judged(docs.limit(0), labels).collect() == []
     assert len(quality.judged(docs, labels.limit(0)).collect()) == len(rows)
+
+
+def test_every_trusted_document_counts(spark):
+    """More trusted documents than any sample would hold: counts and threshold are those of all of them."""
+    n, good = 20_600, 20_400
+    texts = [" ".join(f"w{k * j % 997}" for j in range(1, 61)) if k % 50 == 0 else f"a{k % 700} b{k % 90}" for k in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.range(n).selectExpr("id as doc_id", f"cast(id < {good} as int) as quality", "0 as toxic")
+    scores = slow_scores(texts, [k < good for k in range(n)])
+    fit = [s for k, s in enumerate(scores[:good]) if not slow_base(texts[k])[5]]
+    got = quality.judged(docs, labels, deviations=0.0).collect()
+    assert len(got) == n
+    assert max(abs(r.score - scores[r.id]) for r in got) < 1e-9
+    mean = sum(fit) / len(fit)
+    assert any(s > mean for s in fit) and any(s < mean for s in fit)
+    assert all(r.kept == (not r.base_failed and scores[r.id] >= mean) for r in got if abs(scores[r.id] - mean) > 1e-7)
+
+
+def test_null_and_repeated_ids_count_as_brute_force(spark):
+    rows = [(1, "a b " * 40), (None, "c d"), (2, None), (2, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"w{i}" for i in range(60))), (3, " ".join(f"v{i}" for i in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1, 0), (2, 1, None), (None, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    scores = slow_scores([t or "" for _, t in rows], [i == 2 for i, _ in rows])
+    key = lambda x: str((x[0], x[1] is None, x[1]))
+    got = sorted(((r.id, None if r.score is None else round(r.score, 9)) for r in quality.judged(docs, labels).collect()), key=key)
+    assert got == sorted(((i, None if s is None else round(s, 9)) for (i, _), s in zip(rows, scores)), key=key)
