@@ -1,14 +1,16 @@
 """Token ids by the tokenizers library, word by word and remembered.
 
 The vocabulary's normaliser and pre-tokenizer never join text across white space, so a text's ids are the ids of its
-white-space-separated words, in order. A worker remembers the ids of words it has met, up to a fixed number, and hands
-only unknown words to the library: runs of Latin letters many at a time to its merge model, where the vocabulary marks each
-word's last token, and any other word to the whole tokenizer.
+white-space-separated words, in order. Where the rules are those of RULES, words are cut further into pieces that these rules
+always keep apart: runs of Latin letters, digits, and runs of other ASCII characters. A worker remembers the ids of words or
+pieces it has met, up to a fixed number, and hands only unknown ones to the library: runs of Latin letters many at a time to
+its merge model, where the vocabulary marks each word's last token, and anything else to the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 #: Words a worker remembers: two generations of half as many; a word met again moves to the younger one.
@@ -19,6 +21,17 @@ COMBINING = (b"\xcc", b"\xcd")
 MARKS = (b".", b",")
 #: Words that the merge model takes in one text.
 TOGETHER = 500
+#: The normaliser and pre-tokenizer, as the library spells them, of vocabularies whose words are cut into pieces.
+RULES = (
+    r'''Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])''',
+    r'''Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])''',
+)
+#: Kinds of bytes. A word that holds an odd one stays whole: an apostrophe binds what follows, "<" may begin a special token,
+#: capitals are left in texts that aren't folded, and what isn't ASCII may compose, or be a space.
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+#: Bytes cut into pieces at a time, and what ends a block.
+BLOCK = 1 << 18
+GAP = re.compile(rb"[ \t-\r]")
 
 
 def default_vocabulary() -> str:
@@ -67,6 +80,73 @@ def word_table(texts: list[bytes]):
     return words, coded.indices, split.offsets.to_numpy().astype(np.int64)
 
 
+def kinds() -> bytes:
+    """The kind of each byte by itself."""
+    kind = bytearray([ODD]) * 256
+    for b in range(0x21, 0x7F):
+        kind[b] = LETTER if 0x61 <= b <= 0x7A else DIGIT if 0x30 <= b <= 0x39 else ODD if b in b"'<" or 0x41 <= b <= 0x5A else OTHER
+    for b in b" \t\n\x0b\f\r":
+        kind[b] = SPACE
+    return bytes(kind)
+
+
+def pieces(data):
+    """Where the pieces of bytes begin, their sizes, and their bytes together. ``data`` ends in white space and is changed."""
+    import numpy as np
+
+    kind = np.frombuffer(kinds(), np.uint8)[data]
+    lead = np.flatnonzero(data == 0xC3)
+    second = data[lead + 1]
+    lead = lead[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        ends = np.flatnonzero(kind == SPACE)
+        of = np.unique(np.searchsorted(ends, odd))
+        inside = np.zeros(len(data), np.int8)
+        inside[np.where(of > 0, ends[of - 1] + 1, 0)] = 1
+        inside[ends[of]] -= 1
+        kind[np.cumsum(inside, dtype=np.int8).view(bool)] = ODD
+        lead = lead[kind[lead] == LETTER]
+    data[lead[data[lead + 1] < 0x9F] + 1] += 0x20  # below U+00DF; that is ß, which has no capital there
+    begins = np.ones(len(data), bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == DIGIT
+    word = kind != SPACE
+    starts = np.flatnonzero(begins & word)
+    return starts, (np.flatnonzero(begins[1:] & word[:-1]) + 1 - starts).astype(np.int32), data[word].tobytes()
+
+
+def piece_table(texts: list[bytes]):
+    """word_table() of the pieces of texts that are folded() and whose vocabulary has the RULES: a change of kind inside a word,
+    or a digit, begins a piece. Letters are a-z and U+00C0 to U+00FF, these in lower case afterwards; words with an odd byte stay
+    whole and as they are. Bytes are cut a block of whole words at a time, so a long text takes little more than its words."""
+    import numpy as np
+    import pyarrow as pa
+
+    raw = bytearray(b"\n".join([*texts, b""]))
+    of_texts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    sizes, kept, before, n, at = [np.zeros(1, np.int32)], [], [], 0, 0
+    while at < len(raw):
+        gap = GAP.search(raw, at + BLOCK)
+        end = gap.end() if gap else len(raw)
+        starts, size, own = pieces(np.frombuffer(raw, np.uint8, end - at, at))
+        begin = of_texts[np.searchsorted(of_texts, at) : np.searchsorted(of_texts, end)]
+        before.append(n + np.searchsorted(starts, begin - at))
+        sizes.append(size)
+        kept.append(own)
+        n, at = n + len(size), end
+    del raw
+    ends = np.cumsum(np.concatenate(sizes), dtype=np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(kept))]).dictionary_encode()
+    if not n:
+        return [], coded.indices, np.zeros(len(texts) + 1, np.int64)
+    distinct = coded.dictionary
+    ends = np.frombuffer(distinct.buffers()[1], np.int32, len(distinct) + 1).tolist()
+    own = distinct.buffers()[2].to_pybytes()
+    return [own[a:b] for a, b in zip(ends, ends[1:])], coded.indices, np.concatenate([*before, [n]])
+
+
 def joined(of_words: list[bytes], places, offsets, skip: int = 0) -> Iterator[bytes]:
     """Per text what stands for its words, one after the other, but for the first ``skip`` bytes."""
     import numpy as np
@@ -114,11 +194,9 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.folds = "Lowercase" in str(self.tokenizer.normalizer)
-        self.marks = dict(zip(MARKS, self._ids(MARKS)))
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.words = None
-        if self.folds and suffix:
+        if suffix and (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) == RULES:
             self.words = Tokenizer(self.tokenizer.model)
             self.words.pre_tokenizer = WhitespaceSplit()
             vocabulary = self.tokenizer.get_vocab()
@@ -149,42 +227,19 @@ class WordEncoder:
         return out
 
     def learn(self, words: list[bytes]) -> None:
-        """Have the ids of these words from the library."""
-        known, older, other = self.known, self.older, []
-        if self.words is None:
-            known.update(zip(words, self._ids(words)))
-            return
-        plain: set[bytes] = set()  # runs of ASCII letters, and of any Latin letters
-        latin: set[bytes] = set()
-        made: list[tuple[bytes, bytes, bytes]] = []  # word, the run of letters in it, the ids of the mark after it
-        for w in words:
-            mark = self.marks.get(w[-1:], b"")
-            stem = w[:-1] if mark else w
-            if stem.isalpha() and stem.islower():
-                low, new = stem, plain
-            elif (low := latin_letters(stem)) is not None:
-                new = latin
-            else:
-                other.append(w)
-                continue
-            if low not in known:
-                if low in older:
-                    known[low] = older[low]
-                else:
-                    new.add(low)
-            if low is not w:
-                made.append((w, low, mark))
-        for new in (plain, latin):
-            new = list(new)
-            known.update(zip(new, self._letters(new)))
-        for w, low, mark in made:
-            known[w] = known[low] + mark
-        if other:
-            known.update(zip(other, self._ids(other)))
+        """Have the ids of these words, or pieces, from the library."""
+        plain, latin, other = [], [], words  # runs of ASCII letters, of any Latin letters, and the rest
+        if self.words is not None:
+            other = []
+            for w in words:
+                (plain if w.isalpha() and w.islower() else latin if latin_letters(w) == w else other).append(w)
+        for new, ids in ((plain, self._letters), (latin, self._letters), (other, self._ids)):
+            if new:
+                self.known.update(zip(new, ids(new)))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Words are bytes between ASCII white space; other white space stays inside a word."""
-        words, places, offsets = word_table(folded(texts) if self.folds else texts)
+        words, places, offsets = word_table(texts) if self.words is None else piece_table(folded(texts))
         return joined(looked_up(self, words), places, offsets)
 
 

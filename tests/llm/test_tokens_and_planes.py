@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkprobe.llm import bitplane
+from inkprobe.llm import bitplane, tokens
 from inkprobe.llm.tokens import WordEncoder, default_vocabulary
 
 TEXTS = [
@@ -32,6 +32,31 @@ def test_any_text_gives_the_library_s_ids(library, text):
     assert list(library.encode([text.encode()])) == [want]
 
 
+def test_a_run_of_letters_is_learned_once_whatever_stands_around_it():
+    fresh = WordEncoder(default_vocabulary())
+    list(fresh.encode(["Word word, word$$$ (WORD) word7 7.word WÉß wéß! don't".encode()]))
+    assert set(fresh.known) == {b"word", b",", b"$$$", b"(", b")", b"7", b".", "wéß".encode(), b"!", b"don't"}
+
+
+#: What the vocabulary's rules keep apart or bind, and what composes or folds.
+EDGES = st.sampled_from([*"aéÉßÞþÿ×÷st'.,!$<|> \n5½²ª\u0301\u0338\u0331\u05b0\u0085\u00a0\u3000\x00\x1cKİſΣ日\u037e", "<|endoftext|>", "<|ENDOFTEXT|>", "'LL"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(EDGES, max_size=12).map("".join), max_size=4))
+def test_words_cut_into_pieces_give_the_library_s_ids(library, texts):
+    want = [np.array(library.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(library.encode([t.encode() for t in texts])) == want
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 100])
+def test_blocks_end_between_words(library, monkeypatch, block):
+    want = [np.array(library.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in TEXTS]
+    monkeypatch.setattr(tokens, "BLOCK", block)
+    assert list(library.encode([t.encode() for t in TEXTS])) == want
+    assert list(library.encode([])) == [] and list(library.encode([b"", b" ", b""])) == [b""] * 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=40), max_size=6), st.sampled_from(["bit", "byte"]), st.integers(1, 50))
 def test_segments_round_trip(documents, unit, chunk):
