@@ -1,5 +1,7 @@
 import random
+import sys
 
+import numpy as np
 import pyarrow.parquet as pq
 
 from inkprobe.llm import superkmer
@@ -65,6 +67,70 @@ def test_colliding_codes_are_told_apart(monkeypatch):
     assert list(zip(doc.tolist(), first.tolist(), n.tolist())) == [(1, 0, 2)]
 
 
+def marked(rows, k, m, buckets, batches):
+    """(doc, check, window) of all marks, from rows (doc, check, words) dealt to batches."""
+    made = [superkmer.Batch(buckets, k, m) for _ in range(batches)]
+    for i, row in enumerate(rows):
+        made[i % batches].add(*row)
+    blobs, found = {}, []
+    for batch in made:
+        for b, blob in batch.packed():
+            blobs.setdefault(b, []).append(blob)
+        found += [batch.marks] if batch.marks else []
+    found += [superkmer.judge(x, k) for x in blobs.values()]
+    return {(d, c, a + i) for x in found for d, c, a, n in zip(*(y.tolist() for y in x)) for i in range(n)}
+
+
+def test_marks_of_all_sizes_equal_brute_force():
+    for seed in range(100):
+        rng = random.Random(seed)
+        k = rng.choice([1, 2, 3, 5, 13])
+        vocab = [b"%d" % i for i in range(rng.choice([1, 2, 5, 40]))]
+        passages = [[rng.choice(vocab) for _ in range(rng.randint(1, 30))] for _ in range(4)]
+        rows = []
+        for check in range(rng.randint(1, 25)):
+            parts = [rng.choice(passages) if rng.random() < 0.6 else [rng.choice(vocab) for _ in range(rng.randint(0, 20))] for _ in range(rng.randint(0, 4))]
+            rows.append((rng.choice([rng.randint(-5, 20), superkmer.NO_ID]), check, sum(parts, [])))
+        windows = [(d, c, a, tuple(w[a : a + k])) for d, c, w in rows for a in range(len(w) - k + 1)]
+        least = {}
+        for d, _, _, w in windows:
+            least[w] = min(d, least.get(w, d))
+        got = marked(rows, k, rng.randint(1, min(k, 3)), rng.choice([1, 2, 7, 40]), rng.randint(1, 3))
+        assert got == {(d, c, a) for d, c, a, w in windows if least[w] < d}
+
+
+def test_a_copy_in_a_batch_is_one_mark():
+    words = [b"w%d" % i for i in range(500)]
+    batch = superkmer.Batch(4, 13, 2)
+    for doc in (3, 1, 2):
+        batch.add(doc, 0, words)
+    sent = list(batch.packed())
+    assert sorted(zip(*(x.tolist() for x in batch.marks))) == [(2, 0, 0, 488), (3, 0, 0, 488)]
+    assert all(not len(superkmer.judge([blob])[0]) for _, blob in sent)
+
+
+def test_calls_do_not_grow_with_the_words():
+    def calls(n):
+        count = 0
+
+        def counted(frame, event, arg):
+            nonlocal count
+            count += event in ("call", "c_call")
+
+        batch = superkmer.Batch(1, 13, 2)
+        words, hashes = [b"w%d" % i for i in range(n)], np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sys.setprofile(counted)
+        try:
+            batch.add(1, 0, words, hashes)
+            superkmer.judge([blob for _, blob in batch.packed()])
+        finally:
+            sys.setprofile(None)
+        return count
+
+    calls(2000)  # imports
+    assert calls(20_000) < 1.1 * calls(2000)
+
+
 def test_query(spark):
     t = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()
     rows = list(zip(t["doc_id"], t["text"]))
