@@ -89,8 +89,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (node, root), root the smallest node reachable; nodes without a link are not listed.
+def connected_components(edges: DataFrame, store=stored) -> DataFrame:
+    """(a, b) links to (node, root), root the smallest node reachable; nodes without a link are not listed. ``store`` writes a
+    round's links, and the given ones first, so these needn't be stored before.
 
     Alternating large-star and small-star rounds, each a join and an aggregate over the links, stored in shared
     storage; nothing but the number of changed links comes to the driver. A hub's rows meet one row of its
@@ -98,7 +99,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbour, and they are O(log^2 n) for n nodes.
     """
     a, b = F.col("a"), F.col("b")
-    edges = stored(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    edges = store(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     while True:
         both = edges.select("a", "b").unionByName(edges.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -108,7 +109,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(b.alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where(a != b).distinct()
-        after = stored(small)
+        after = store(small)
         # Each star's links point at its root: done when no root has a link of its own and no node has two.
         n = after.agg(F.count("*").alias("n"), F.count_distinct("a").alias("d")).first()
         roots_linked = after.select(F.col("b").alias("a")).join(after.select("a"), "a", "left_semi").limit(1).count()

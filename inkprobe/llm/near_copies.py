@@ -95,6 +95,11 @@ def _kept(df: DataFrame) -> DataFrame:
         conf.unset(name) if before is None else conf.set(name, before)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """As _kept(), for the little that joins leave: files by its size, not one for each of the joins' tasks."""
+    return _kept(df.hint("rebalance"))
+
+
 def common_shingles(texts: DataFrame):
     """Sorted hashes of shingles that are common in a sample of the texts."""
     import numpy as np
@@ -159,7 +164,7 @@ def _may_be_alike(s: Column, t: Column, sizes: Column) -> Column:
 
 
 def links(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those (a, b) of ``pairs`` of nodes (stored, distinct) whose sets are 4/5 alike, stored."""
+    """Those (a, b) of ``pairs`` of nodes (stored, distinct) whose sets are 4/5 alike; not stored, as connected_components() stores them."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = rows.select("id", "node").join(nodes, "node", "left_semi").select(F.col("id").alias("__id")).distinct()
     named = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
@@ -174,7 +179,7 @@ def links(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, text_
 
     sets = _kept(_texts(read, "__doc", "__text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
-    return _kept(both.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t"))).select("a", "b"))
+    return both.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t"))).select("a", "b")
 
 
 def _bounded(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -182,7 +187,7 @@ def _bounded(pairs: DataFrame, own: DataFrame) -> DataFrame:
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c, s, n: own.select(F.col("node").alias(c), F.col("sketch").alias(s), F.col("size").alias(n))
     both = pairs.join(side("a", "s", "m"), "a").join(side("b", "t", "n"), "b")
-    return _kept(both.where(_may_be_alike(F.col("s"), F.col("t"), F.col("m") + F.col("n"))).select("a", "b"))
+    return _few(both.where(_may_be_alike(F.col("s"), F.col("t"), F.col("m") + F.col("n"))).select("a", "b"))
 
 
 def _by_fingerprint(own: DataFrame) -> DataFrame:
@@ -213,7 +218,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = _kept(met.select("h", *one, F.array_compact(F.array(*[back(k) for k in range(1, NEIGHBOURS + 1)])).alias("back")))
     pairs = [met.where(F.col("pos") < FIRST_KEYS).select(F.col("node").alias("a"), F.explode("back").alias("b"))]
     pairs = _bounded(union_all([_by_fingerprint(own), *pairs]), own)
-    roots = connected_components(links(docs, rows, pairs, id_col, text_col))
+    roots = connected_components(links(docs, rows, pairs, id_col, text_col), _kept)
 
     placed = met.select("h", *one).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r != q").select("h")
@@ -225,9 +230,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = x.join(y, apart & _may_reach(side("x"), side("y")) & alike)
     rest = _kept(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     more = links(docs, rows, rest, id_col, text_col)
-    roots = connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots = connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), _kept)
 
     own = own.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    own = _kept(own)
+    own = _few(own)
     named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return rows.select("id", "node").join(named, "node").select("id", "node", "component_id")

@@ -73,3 +73,29 @@ def test_documents(spark):
     rows = sorted(zip(t["doc_id"], t["text"]))
     got = {r.id: r.component_id for r in near_copies.near_groups(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
     assert got == slow_groups(rows)
+
+
+def test_few_pairs_are_few_files(spark, monkeypatch):
+    """What joins leave is written in files by its size."""
+    from pathlib import Path
+
+    from inkprobe.llm import common
+
+    rng, rows = random.Random(3), []
+    for k in range(64):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, edited(rng, words, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.coalescePartitions.minPartitionSize": "1", "adaptive.coalescePartitions.parallelismFirst": "false"}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        monkeypatch.setattr(common, "MADE", [])
+        got = {r.id: r.component_id for r in near_copies.near_groups(docs).collect()}
+    finally:
+        for k in conf:
+            spark.conf.unset(f"spark.sql.{k}")
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+    made = [(spark.read.parquet(p).columns, len(list(Path(p.removeprefix("file://")).glob("*.parquet")))) for p in common.MADE]
+    assert next(n for columns, n in made if columns == ["a", "b"]) == 1
+    assert next(n for columns, n in made if columns == ["node", "least", "root"]) == 1
