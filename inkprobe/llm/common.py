@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +81,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What queries in here have shuffled is deleted once their rows are written, instead of when the driver collects garbage."""
+    conf, name = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        yield
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hand rows to Python in batches of at most 1,000 rows and 8 MB, since texts may be long; set for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, stored, text_or_empty, union_all
+from .common import bounded_batches, connected_components, shuffles_deleted, stored, text_or_empty, union_all
 from .simhash import near_links
 
 SHINGLE = 5
@@ -86,13 +86,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _kept(df: DataFrame) -> DataFrame:
     """As stored(); what was shuffled on the way is deleted once the rows are written."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, None)
-    conf.set(name, "true")
-    try:
+    with shuffles_deleted(df.sparkSession):
         return stored(df)
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def _few(df: DataFrame) -> DataFrame:

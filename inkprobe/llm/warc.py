@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_at_exit, shared_dir, stored, table, text_or_empty
+from .common import delete_at_exit, shared_dir, shuffles_deleted, stored, table, text_or_empty
 
 REVISIT_FROM = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -70,7 +70,12 @@ def with_headers(index: DataFrame) -> DataFrame:
 
 def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> None:
     """Write a record for every row of ``pages`` (page_id, url, html; others are ignored). Null html is an empty payload,
-    a null url an empty one."""
+    a null url an empty one. What that shuffles is deleted as soon as it is written, for reading shuffles the payloads again."""
+    with shuffles_deleted(pages.sparkSession):
+        _write(pages, path, revisit_from)
+
+
+def _write(pages: DataFrame, path: str, revisit_from: int) -> None:
     index = stored(index_pages(pages, revisit_from))
     with_headers(index).write.parquet(f"{path}/headers")
     # payloads move once, by page and digest, and only those that are kept; a repeated page meets itself there

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,23 @@ def test_columns_come_from_the_rebuilt_records(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.records(spark, f"file://{tmp_path}/e").collect() == []
+
+
+def test_writing_leaves_no_shuffled_payloads(spark, tmp_path):
+    """Else they lie on disk beside the archive and what reading it shuffles."""
+
+    def shuffled():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        files = [disk.apply(k) for k in range(disk.size())]
+        return {f.getPath(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+    rng = random.Random(5)
+    rows = [(i, "u", rng.randbytes(10_000).hex()) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = shuffled()
+    warc.write_archive(pages, f"file://{tmp_path}/w")
+    end = time.time() + 10
+    while (left := sum(n for f, n in shuffled().items() if f not in before)) and time.time() < end:
+        time.sleep(0.2)
+    assert left < 100_000
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in warc.read_archive(spark, f"file://{tmp_path}/w").collect()) == [(i, h) for i, _, h in rows]
