@@ -96,10 +96,12 @@ def identical_values(values: DataFrame, by: str, context: str, value: str = "val
     return found.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn", "key")
 
 
-def is_sequence(values: DataFrame, keys: list[str], value: str = "value", tolerance: float = 0.05) -> DataFrame:
+def is_sequence(values: DataFrame, keys: list[str], value: str = "value", tolerance: float = 0.05, short: bool = False) -> DataFrame:
     """(keys, is_sequence): three distinct values or more whose steps, as ratios or as differences, all lie within the
-    tolerance of their mean. A zero ends the ratios, and what came before counts."""
-    distinct = values.select(*keys, F.col(value).alias("v")).distinct()
+    tolerance of their mean. A zero ends the ratios, and what came before counts. ``short``: keys have few values each, which
+    then move once instead of twice."""
+    distinct = values.select(*keys, F.col(value).alias("v"))
+    distinct = (distinct.repartition(*keys) if short else distinct).distinct()
     w = Window.partitionBy(*keys).orderBy("v")
     steps = distinct.withColumn("p", F.lag("v").over(w))
     zero = F.max((F.col("p") == 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -121,14 +123,25 @@ def repeated_cells(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
     60% of values, above 100); values in more than 8 rows or in one column only; values in a column or row that is a
     sequence of parameters. ``cells``: sheet, row, col, value.
     """
-    held = cells.where((F.col("value") == 0) | (F.abs("value") >= 1e-10))
-    groups = held.groupBy(sheet, "value").agg(F.count("*").alias("n"), F.count_distinct("row").alias("n_rows"), F.count_distinct("col").alias("n_cols"))
-    often = groups.where("n >= 2").groupBy(sheet, "n").agg(F.count("*").alias("k"))
-    template = often.groupBy(sheet).agg(F.sum("k").alias("all"), F.max(F.struct("k", "n")).alias("t")).where((F.col("t.k") > 0.6 * F.col("all")) & (F.col("t.n") > 100)).select(sheet, F.col("t.n").alias("n"))
-    found = groups.where("n >= 2 and n_rows <= 8 and n_cols >= 2").join(template, [sheet, "n"], "left_anti")
+    held = cells.where(F.col("value").isNotNull() & ((F.col("value") == 0) | (F.abs("value") >= 1e-10))).select(sheet, "value", "row", "col")
+    # a value's rows are dealt out by value and an eighth of the rows, so that they meet without a second move and a value
+    # that fills a sheet isn't one task's; what each eighth counts is added up then
+    dealt = held.withColumn("part", F.hash(sheet, "value", F.pmod(F.hash("row"), F.lit(8)))).repartition("part")
+    by_row = dealt.groupBy("part", sheet, "value", "row").agg(F.count("*").alias("n"), F.min("col").alias("low"), F.max("col").alias("high"))
+    groups = by_row.groupBy(sheet, "value").agg(F.sum("n").alias("n"), F.count("row").alias("n_rows"), F.min("low").alias("low"), F.max("high").alias("high")).where("n >= 2")
+    # true of all groups: both uses need the same columns then, and Spark counts once; so it does only while no join adds a
+    # filter to one of them
+    groups = groups.where("n_rows >= 0 and (low <= high or low is null)")
+    often = groups.groupBy(sheet, "n").agg(F.count("*").alias("k"))
+    template = often.groupBy(sheet).agg(F.sum("k").alias("all"), F.max(F.struct("k", "n")).alias("t")).where((F.col("t.k") > 0.6 * F.col("all")) & (F.col("t.n") > 100)).select(F.col(sheet).alias("__sheet"), F.col("t.n").alias("__n"))
+    repeats = F.col(sheet).isNotNull() & F.col(sheet).eqNullSafe(F.col("__sheet")) & (F.col("n") == F.col("__n"))
+    # two columns or more where the least isn't the greatest; they are counted once few rows are left
+    found = groups.where("n_rows <= 8 and low < high").join(template, repeats, "left_anti").select(F.col(sheet).alias("__sheet"), F.col("value").alias("__value"), "n", "n_rows")
     rounded = held.select(sheet, "row", "col", F.round("value", 4).alias("value"))
-    columns = is_sequence(rounded, [sheet, "col"]).where("is_sequence").select(sheet, "col")
-    rows = is_sequence(rounded, [sheet, "row"]).where("is_sequence").select(sheet, "row")
-    places = held.join(found.select(sheet, "value"), [sheet, "value"], "left_semi")
-    excused = places.join(columns, [sheet, "col"], "left_semi").select(sheet, "value").unionByName(places.join(rows, [sheet, "row"], "left_semi").select(sheet, "value")).distinct()
-    return found.join(excused, [sheet, "value"], "left_anti")
+    columns = is_sequence(rounded, [sheet, "col"]).where("is_sequence").select(sheet, "col", F.lit(True).alias("in_column"))
+    rows = is_sequence(rounded, [sheet, "row"], short=True).where("is_sequence").select(sheet, "row", F.lit(True).alias("in_row"))
+    places = held.join(found, F.col(sheet).eqNullSafe(F.col("__sheet")) & (F.col("value") == F.col("__value"))).drop("__sheet", "__value")
+    places = places.join(columns, [sheet, "col"], "left").join(rows, [sheet, "row"], "left")
+    excused = F.max(F.coalesce("in_column", "in_row", F.lit(False)))
+    out = places.groupBy(sheet, "value", "n", "n_rows").agg(F.size(F.collect_set("col")).cast("long").alias("n_cols"), excused.alias("excused"))
+    return out.where("not excused").drop("excused")
